@@ -62,10 +62,11 @@ def fn_from_epoch(v):
     return v.tracking.select("event_id", t.from_epoch("actual_time", -3600).alias("at"))
 
 
-@query("fn_to_epoch", "event_id:i seconds:f", """
-    SELECT event_id, epoch(ts) AS seconds FROM events""")
+@query("fn_to_epoch", "event_id:i micros:i", """
+    SELECT event_id, epoch_us(ts) AS micros FROM events""")
 def fn_to_epoch(v):
-    return v.events.select("event_id", t.to_epoch(F.col("ts").cast("timestamp")).alias("seconds"))
+    seconds = t.to_epoch(F.col("ts").cast("timestamp"))
+    return v.events.select("event_id", F.round(seconds * 1000000).alias("micros"))
 
 
 @query("fn_date", "event_id:i day:d", "SELECT event_id, CAST(ts AS DATE) AS day FROM events")
@@ -86,13 +87,13 @@ def fn_dow_iso(v):
     return v.orders.select("o_orderkey", t.iso_dow("o_orderdate").alias("dow"))
 
 
-@query("fn_extract", "event_id:i h:i mi:i s:f", """
+@query("fn_extract", "event_id:i h:i mi:i us:i", """
     SELECT event_id, extract(hour FROM ts) AS h, extract(minute FROM ts) AS mi,
-      extract(microsecond FROM ts) / 1000000.0 AS s FROM events""")
+      extract(microsecond FROM ts) AS us FROM events""")
 def fn_extract(v):
     return v.events.select("event_id", F.extract(F.lit("HOUR"), "ts").alias("h"),
                            F.extract(F.lit("MINUTE"), "ts").alias("mi"),
-                           F.extract(F.lit("SECOND"), "ts").alias("s"))
+                           (F.extract(F.lit("SECOND"), "ts") * 1000000).alias("us"))
 
 
 @query("fn_date_trunc", "event_id:i day:t week:d month:d", """

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.session import use_report_clock
 
+from . import oracle_views  # noqa: F401  (fills the oracle side)
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

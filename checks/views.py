@@ -167,7 +167,7 @@ def fx_orders(d):
         AS payment_be_channel_id,
       {CHANNEL.format(x='o_orderkey')} AS fulfilment_channel_id,
       {CARRIER.format(x='o_orderkey')} AS fulfilment_shipping_carrier,
-      CASE WHEN o_orderkey % 2 = 0 THEN 5001 ELSE 5002 END AS shipping_method_id,
+      CASE o_orderkey % 3 WHEN 0 THEN 5001 WHEN 1 THEN 5002 ELSE 5009 END AS shipping_method_id,
       o_orderkey % 100 AS shop_id, o_orderkey % 100 + 1000000 AS seller_id,
       o_custkey AS buyer_id,
       CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS is_cb_shop,
@@ -465,7 +465,16 @@ def fx_ids(d):
 
 # --- building ------------------------------------------------------------------
 
-_NAME = re.compile(r"\bfx_[a-z_]+\b")
+_NAME = re.compile(r"\b[fo]x_[a-z_0-9]+\b")
+
+# Oracle-side intermediate results, filled by checks.oracle_views.
+ORACLE_VIEWS: dict[str, str] = {}
+
+
+def _oracle_text(name: str) -> str | None:
+    if name in VIEWS:
+        return VIEWS[name](DuckDialect())
+    return ORACLE_VIEWS.get(name)
 
 
 def _closure(sql: str) -> list[str]:
@@ -474,8 +483,9 @@ def _closure(sql: str) -> list[str]:
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(_NAME.findall(text)):
-            if name in VIEWS and name not in order:
-                visit(VIEWS[name](DuckDialect()))
+            body = _oracle_text(name)
+            if body is not None and name not in order:
+                visit(body)
                 if name not in order:
                     order.append(name)
 
@@ -485,8 +495,7 @@ def _closure(sql: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """Oracle statement with the views it reads as common table expressions."""
-    dialect = DuckDialect()
-    ctes = [f"{n} AS ({VIEWS[n](dialect).strip()})" for n in _closure(sql)]
+    ctes = [f"{n} AS ({_oracle_text(n).strip()})" for n in _closure(sql)]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
 
 

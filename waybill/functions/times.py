@@ -157,4 +157,5 @@ def is_set(epoch, shift: int = 0) -> Column:
 
 
 def is_unset(epoch, shift: int = 0) -> Column:
-    return F.year(from_epoch(epoch, shift)) == 1970
+    """Zero, also after the shift of the report clock has moved it before 1970."""
+    return F.year(from_epoch(epoch, shift)) <= 1970

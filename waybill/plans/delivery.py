@@ -25,13 +25,14 @@ def parcel_facts(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame,
                  tracking: DataFrame, spec: Mapping = mst.DELIVERY,
                  channels: Sequence[int] | None = BOTH,
                  order_columns: Sequence[str] = (), parcel_columns: Sequence[str] = (),
-                 fulfilment_columns: Sequence[str] = ()) -> DataFrame:
+                 fulfilment_columns: Sequence[str] = (), keep_id: bool = False) -> DataFrame:
     """Distinct parcels with order addresses and milestones.
 
     Milestones, parcels and fulfilment rows are all keyed by parcel, so they
     meet in the partitioning the milestone aggregate already has; the order
-    table is the only other shuffle.  Orders that travel in one parcel from and
-    to the same addresses give one row.
+    table is the only other shuffle.  Orders that travel under one tracking
+    number from and to the same addresses give one row (``keep_id`` keeps
+    parcels with different ids apart).
     """
     if channels is not None:
         parcel = parcel.where(F.col("fulfillment_channel_id").isin(*channels))
@@ -42,7 +43,7 @@ def parcel_facts(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame,
                           "buyer_district", *order_columns)
     times = mst.milestones(tracking, spec)
     facts = times.join(head.join(link, "log_id"), "log_id", "right").join(place, "order_id")
-    return facts.drop("order_id").distinct()
+    return facts.drop("order_id", *([] if keep_id else ["log_id"])).distinct()
 
 
 def with_allowance(facts: DataFrame, sla: DataFrame, extend: DataFrame, routes: DataFrame,
@@ -164,14 +165,16 @@ def leadtime_by_route(base: DataFrame, first: str, last: str) -> DataFrame:
     return dlv.leadtime_stats(_due_between(lead, first, last), ["shipping_carrier", "route"])
 
 
-def leadtime_two_periods(base: DataFrame, left, right, faithful: bool = False) -> DataFrame:
+def leadtime_two_periods(base: DataFrame, left, right, faithful: bool = False,
+                         digits: int = 1) -> DataFrame:
     """Two due periods side by side per carrier and buyer state."""
     lead = base.withColumn("deli_1st_leadtime", gap_days("pku_done_time", "deli_1st_time", 1))
     if faithful:
         return dlv.compare_periods_fanout(
-            lead, left, right, "shipping_carrier", ["week_", "shipping_carrier", "buyer_state"])
+            lead, left, right, "shipping_carrier", ["week_", "shipping_carrier", "buyer_state"],
+            digits=digits)
     return dlv.compare_periods(
-        lead, ["shipping_carrier", "buyer_state"], {"1": left, "2": right})
+        lead, ["shipping_carrier", "buyer_state"], {"1": left, "2": right}, digits=digits)
 
 
 # --- all carriers --------------------------------------------------------------
