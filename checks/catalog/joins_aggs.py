@@ -319,8 +319,8 @@ def agg_group_expr(v):
       (week(orderdate)))""")
 def agg_grouping_sets(v):
     base = pickup.daily_base(v.created, {"ok": pickup.picked()}, ["fromregionshortname"])
-    base = base.withColumn("week", F.weekofyear("order_day"))
-    return pickup.with_total(base, "week", "fromregionshortname", "XXX_Total", {"share": "ok"})
+    base = base.withColumn("time", F.weekofyear("order_day"))
+    return pickup.with_total(base, ["time"], "fromregionshortname", "XXX_Total", {"share": "ok"})
 
 
 @query("agg_two_level", "order_id:i item_amount:f weight:f width:f length:f height:f", """

@@ -75,10 +75,6 @@ def start(grain, x="orderdate"):
     return f"CAST(date_trunc('{grain}', {x}) AS DATE)"
 
 
-def grace(v):
-    return scans.calendar(v.spark, EVENT_DAYS)
-
-
 def per_order(name, flag_sql, build):
     """Row-level query: order code and one flag."""
     query(name, "ordercode:i flag:i", f"""
@@ -111,10 +107,8 @@ def dom_pu_success(v):
     SELECT ordercode, {PEN1} AS cutoff, {PEN2} AS incident, {PEN_DAY} AS by_day
     FROM fx_created WHERE {SCOPE} AND {JUDGED}""")
 def dom_pu_penalty(v):
-    days = grace(v)
-    rows = pu.in_scope(v.created).where(pu.not_cancelled_same_day()).join(
-        days, F.to_date("orderdate") == F.col("sla_date"), "left")
-    event = F.col("sla_date").isNotNull()
+    rows = pu.in_scope(v.created).where(pu.not_cancelled_same_day())
+    event = pu.on_event_day(EVENT_DAYS)
     return rows.select(
         "ordercode", pu.ontime_first_v1(AS_OF, event).alias("cutoff"),
         pu.ontime_first_v2(AS_OF, event).alias("incident"),
@@ -156,12 +150,12 @@ def score_sql(grain, first, success, penalty, number):
 
 @query("dom_pu_scorecard", SCORE, score_sql("week", V1, SUCCESS, PEN1, "week"))
 def dom_pu_scorecard(v):
-    return pu.scorecard(v.created, "week", AS_OF, grace(v), FIRST, LAST, version=1)
+    return pu.scorecard(v.created, "week", AS_OF, EVENT_DAYS, FIRST, LAST, version=1)
 
 
 @query("rep_scorecard_monthly", SCORE, score_sql("month", V2, SUCCESS2, PEN2, "month"))
 def rep_scorecard_monthly(v):
-    return pu.scorecard(v.created, "month", AS_OF, grace(v), FIRST, LAST, version=2)
+    return pu.scorecard(v.created, "month", AS_OF, EVENT_DAYS, FIRST, LAST, version=2)
 
 
 WEEKLY = ("period:d time:i total_orders:i ontime_first:f ontime_penalty:f ontime_success:f "
@@ -188,13 +182,13 @@ def weekly_sql(grain, number):
 
 @query("rep_weekly_scorecard", WEEKLY, weekly_sql("week", "week"))
 def rep_weekly_scorecard(v):
-    return pu.weekly_scorecard(v.created, "week", AS_OF, grace(v), dt.date(2024, 1, 1),
+    return pu.weekly_scorecard(v.created, "week", AS_OF, EVENT_DAYS, dt.date(2024, 1, 1),
                                dt.date(2024, 1, 8))
 
 
 @query("rep_weekly_scorecard_month", WEEKLY, weekly_sql("month", "month"))
 def rep_weekly_scorecard_month(v):
-    return pu.weekly_scorecard(v.created, "month", AS_OF, grace(v), dt.date(2024, 1, 1),
+    return pu.weekly_scorecard(v.created, "month", AS_OF, EVENT_DAYS, dt.date(2024, 1, 1),
                                dt.date(2024, 1, 8))
 
 

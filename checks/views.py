@@ -16,6 +16,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "labels")
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
 class SparkDialect:
     def idiv(self, a, b): return f"(({a}) div ({b}))"
     def epoch(self, ts): return f"unix_seconds(CAST({ts} AS TIMESTAMP))"
@@ -514,7 +532,10 @@ class Views:
 
     def _build(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in SCHEMAS:  # stated, so that no job reads the footers
+                reader = reader.schema(SCHEMAS[name])
+            return reader.parquet(f"{self.sf_dir}/{name}.parquet")
         key = name if name.startswith("fx_") else f"fx_{name}"
         if key not in VIEWS:
             raise AttributeError(name)

@@ -13,32 +13,30 @@ from ..functions.times import REPORT_SHIFT, from_epoch, to_epoch
 KEY = "log_id"
 
 
-def _ranked(tracking: DataFrame, keep: Column, upto: int, key: str, reason: Column,
-            since: dt.date | None) -> DataFrame:
-    """Rows (key, second, reason, rank) of the ``upto`` earliest ranks.
-
-    Exact copies are collapsed first (spread over key, second and reason), then
-    seconds; a parcel's rank at a second is one plus the events before it.  At
-    most ``upto`` seconds per parcel can matter, and the row_number filter lets
-    every task drop the others before the shuffle, so a parcel holding a third
-    of the log still sends only a few rows per task.
+def _ranked(events: DataFrame, upto: int, key: str, reason: Column) -> DataFrame:
+    """(key, second, reason, rnk) of the events ranked up to ``upto`` by time.
+
+    Exact copies are collapsed and counted first, keyed by parcel, second and
+    reason, so even a parcel with a third of the log is spread.  Only the
+    ``upto`` earliest seconds of a parcel can hold such a rank; the dense_rank
+    filter lets every task drop the rest before the shuffle, so a hot parcel
+    sends a few rows per task.  The rank is one plus the events before.
     """
-    events = tracking.where(keep)
-    if since is not None:
-        events = events.where(from_epoch("actual_time", REPORT_SHIFT).cast("date") >= F.lit(since))
-    seconds = events.groupBy(key, F.col("actual_time").alias("second")).agg(
+    counted = events.groupBy(
+        key, F.col("actual_time").alias("second"), reason.alias("reason")).agg(
         F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(key).orderBy("second")
-    top = seconds.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= upto)
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranks = top.withColumn("rnk", F.coalesce(before, F.lit(0)) + 1).select(
-        F.col(key), F.col("second"), F.col("rnk")).where(F.col("rnk") <= upto)
-    reasons = events.groupBy(
-        F.col(key).alias("__key"), F.col("actual_time").alias("__second"),
-        reason.alias("reason")).agg(F.count(F.lit(1)).alias("__n"))
-    return ranks.join(
-        reasons, (F.col(key) == F.col("__key")) & (F.col("second") == F.col("__second"))
-    ).select(key, "second", "reason", "rnk")
+    top = counted.withColumn("pos", F.dense_rank().over(order)).where(F.col("pos") <= upto)
+    earlier = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    return top.select(key, "second", "reason", (F.coalesce(earlier, F.lit(0)) + 1).alias("rnk"))
+
+
+def _events(tracking: DataFrame, column: str, wanted: Sequence[str],
+            since: dt.date | None) -> DataFrame:
+    events = tracking.where(F.col(column).isin(*wanted))
+    if since is not None:
+        events = events.where(from_epoch("actual_time", REPORT_SHIFT).cast("date") >= F.lit(since))
+    return events
 
 
 def nth_attempt(tracking: DataFrame, code: str | Sequence[str], n: int, key: str = KEY,
@@ -51,7 +49,7 @@ def nth_attempt(tracking: DataFrame, code: str | Sequence[str], n: int, key: str
     """
     wanted = [code] if isinstance(code, str) else list(code)
     why = reason if isinstance(reason, Column) else F.col(reason)
-    ranked = _ranked(tracking, F.col(column).isin(*wanted), n, key, why, since)
+    ranked = _ranked(_events(tracking, column, wanted, since), n, key, why)
     return ranked.where(F.col("rnk") == n).select(
         key, F.col("reason").alias("tracking_detail_reason"),
         from_epoch("second", REPORT_SHIFT).alias("tracking_time"), F.col("rnk").cast("int"))
@@ -64,15 +62,8 @@ def attempts_wide(tracking: DataFrame, code: str, upto: int = 3, prefix: str = "
     One pass over the log replaces one ranked self-scan per attempt.  When
     events tie at a rank, the smallest reason text stands for it.
     """
-    events = tracking.where(F.col("tracking_code") == code)
-    if since is not None:
-        events = events.where(from_epoch("actual_time", REPORT_SHIFT).cast("date") >= F.lit(since))
-    seconds = events.groupBy(key, F.col("actual_time").alias("second")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("reason_description").alias("reason"))
-    order = Window.partitionBy(key).orderBy("second")
-    top = seconds.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= upto)
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = top.withColumn("rnk", F.coalesce(before, F.lit(0)) + 1)
+    ranked = _ranked(_events(tracking, "tracking_code", [code], since), upto, key,
+                     F.col("reason_description"))
     wide = ranked.groupBy(key).agg(*[
         agg for i in range(1, upto + 1) for agg in (
             F.min(F.when(F.col("rnk") == i, F.col("second"))).alias(f"{prefix}_{i}_time"),

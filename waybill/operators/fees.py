@@ -54,7 +54,9 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
     """One row per order and tracking number with fees, rebates and checks.
 
     Items, parcels and policies are brought to one row per key before they are
-    joined.  Total goods value is the sum over the parcels of the group.
+    joined, so the wide result needs no grouping of its own.  Total goods value
+    is the value times the number of equal rows, which only repeated refund
+    rows can cause.
     """
     created = from_epoch("create_timestamp", REPORT_SHIFT)
     head = orders.select(
@@ -84,6 +86,8 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
         F.col("username").alias("seller_user_name"))
     buyers = accounts.select(
         F.col("userid").alias("buyer_id"), F.col("username").alias("buyer_name"))
+    refund_rows = refunds.groupBy("order_id", "refund_id").agg(
+        F.count(F.lit(1)).alias("__repeats"))
     # equal shares of one tracked parcel count once
     shares = units.join(tracked, "log_id", "left").drop("log_id").distinct()
     # Left joins all along: an order without parcels keeps a row of its own.
@@ -93,12 +97,14 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
                     ["seller_userid", "seller_user_name"])
         .join(item_fees(items), "order_id", "left")
         .join(buyers, "buyer_id", "left")
-        .join(escrow, "order_id", "left").join(insurance, "order_id", "left")
-        .join(refunds, "order_id", "left")
+        .join(escrow.distinct(), "order_id", "left")
+        .join(insurance.distinct(), "order_id", "left")
+        .join(refund_rows, "order_id", "left")
         .join(multi, "order_id", "left").join(groups, "lm_tracking_no", "left")
         .withColumn("check_cogs", components_match())
         .withColumn("check_multi_wh", multi_label("nb_parcels"))
         .withColumnRenamed("total_group", "check_group")
-        .drop("nb_parcels")
     )
-    return rows.groupBy(*rows.columns).agg(F.sum("cogs").alias("total_cogs"))
+    return rows.withColumn(
+        "total_cogs", F.col("cogs") * F.coalesce("__repeats", F.lit(1))
+    ).drop("nb_parcels", "__repeats")

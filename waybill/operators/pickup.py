@@ -159,6 +159,17 @@ def late(flag: Column) -> Column:
     return F.lit(1) - flag
 
 
+def on_event_day(days: Sequence[str]) -> Column:
+    """Is the order day one of the given days of grace?
+
+    The list is part of the rule, so it is a literal set looked up per row, not
+    a join: order days are far too few to shuffle orders by.
+    """
+    if not days:
+        return F.lit(False)
+    return day("orderdate").isin(*[F.lit(d).cast("date") for d in dict.fromkeys(days)])
+
+
 def not_cancelled_same_day() -> Column:
     """Excludes orders cancelled by the order day (unknown cancel day of a
     cancelled order is excluded as well)."""
@@ -240,7 +251,7 @@ def _on_sunday() -> Column:
     return iso_dow("order_day") == 7
 
 
-def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: DataFrame,
+def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequence[str],
               first: dt.date, last: dt.date, version: int = 1,
               client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
     """Total volume, normal, penalty, success and Sunday rates per period.
@@ -250,9 +261,7 @@ def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: DataFrame,
     """
     first_rule = {1: ontime_first_v1, 2: ontime_first_v2}[version]
     success_rule = {1: ontime_success, 2: ontime_success_v2}[version]
-    days = grace_days.select(F.col(grace_days.columns[0]).alias("__grace")).distinct()
     scoped = in_scope(df, first, last, client, all_channels=True)
-    scoped = scoped.join(days, day("orderdate") == F.col("__grace"), "left")
     normal = F.coalesce(
         ~F.col("isexpecteddropoff") & (F.col("channel") != codes.INTERNAL_CHANNEL),
         F.lit(False))
@@ -264,7 +273,7 @@ def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: DataFrame,
         "picked": F.when(normal, picked()).otherwise(0),
         "judged": _flag(judged),
         "penalty_ok": F.when(
-            judged, first_rule(as_of, grace=F.col("__grace").isNotNull())).otherwise(0),
+            judged, first_rule(as_of, grace=on_event_day(grace_days))).otherwise(0),
     })
     sunday = _on_sunday()
     base = base.withColumn("sunday", F.when(sunday, F.col("normal"))).withColumn(
@@ -283,7 +292,7 @@ def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: DataFrame,
     )
 
 
-def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: DataFrame,
+def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequence[str],
                      first: dt.date, penalty_first: dt.date,
                      client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
     """Rates per period without the 18:00 rule, on distinct orders.
@@ -293,10 +302,8 @@ def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Data
     distinct set is ever built for a whole period.
     """
     last = as_of - dt.timedelta(days=1)
-    days = grace_days.select(F.col(grace_days.columns[0]).alias("__grace")).distinct()
     scoped = in_scope(df, min(first, penalty_first), last, client)
-    scoped = scoped.join(days, day("orderdate") == F.col("__grace"), "left")
-    grace = F.col("__grace").isNotNull()
+    grace = on_event_day(grace_days)
     order_day = day("orderdate")
     live = (F.col("currentstatus") != "cancel") & (order_day >= F.lit(first))
     judged = not_cancelled_same_day() & (order_day >= F.lit(penalty_first))
@@ -355,7 +362,7 @@ def breakdown(df: DataFrame, grain: str, dims: Sequence[str], as_of: dt.date, fi
     )
 
 
-def with_total(base: DataFrame, time: str, region: str, total_label: str,
+def with_total(base: DataFrame, time: Sequence[str], region: str, total_label: str,
                measures: dict[str, str], digits: int = 4) -> DataFrame:
     """(time, region) and (time) grouping sets over a pre-aggregated table.
 
@@ -363,13 +370,13 @@ def with_total(base: DataFrame, time: str, region: str, total_label: str,
     ``grouping``, so a group of unknown region keeps a NULL region instead of
     looking like a second total.
     """
-    sets = [[F.col(time), F.col(region)], [F.col(time)]]
-    rolled = base.groupingSets(sets, F.col(time), F.col(region)).agg(
+    keys = [F.col(t) for t in time]
+    rolled = base.groupingSets([[*keys, F.col(region)], keys], *keys, F.col(region)).agg(
         F.grouping(region).alias("__total"),
         F.sum("orders").alias("__orders"),
         *[F.sum(flag).alias(out) for out, flag in measures.items()])
     return rolled.select(
-        F.col(time).alias("time"),
+        *time,
         F.when(F.col("__total") == 1, total_label).otherwise(F.col(region)).alias("region"),
         F.col("__total").alias("is_total"),
         *[F.round(F.col(out) / F.col("__orders"), digits).alias(out) for out in measures],
@@ -378,40 +385,42 @@ def with_total(base: DataFrame, time: str, region: str, total_label: str,
 
 def dashboard(df: DataFrame, as_of: dt.date, client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
     """Last ten days, last week on, month to date and the month before, each
-    by region with a national total."""
+    by region with a national total.
+
+    The orders are aggregated once per day and region; every row of that small
+    table is then repeated for the views it belongs to.
+    """
     month_start = as_of.replace(day=1)
     previous_month = (month_start - dt.timedelta(days=1)).replace(day=1)
-    yesterday = as_of - dt.timedelta(days=1)
-    week_start = as_of - dt.timedelta(days=as_of.weekday() + 7)
-    scoped = in_scope(df, min(previous_month, as_of - dt.timedelta(days=10), week_start),
-                      yesterday, client, keep_cancelled=False)
+    ten_days = max(as_of - dt.timedelta(days=10), previous_month)
+    week_start = max(as_of - dt.timedelta(days=as_of.weekday() + 7), previous_month)
+    scoped = in_scope(df, previous_month, as_of - dt.timedelta(days=1), client,
+                      keep_cancelled=False)
     base = daily_base(scoped, {
         "success_ok": ontime_success(as_of), "first_ok": ontime_first_v3()},
         ["fromregionshortname"])
-    measures = {"ontime_success": "success_ok", "ontime_first": "first_ok"}
 
-    def view(kind: str, grain: str, since: dt.date) -> DataFrame:
-        part = base.where((F.col("order_day") >= F.lit(since))
-                          & (F.col("order_day") >= F.lit(previous_month)))
-        part = part.withColumn("period", period_start("order_day", grain))
-        rolled = with_total(part, "period", "fromregionshortname", codes.TOTAL_LABEL, measures)
-        return rolled.select(
-            F.lit(kind).alias("time_type"), F.col("time").cast("string").alias("time_period"),
-            "region", "is_total", "ontime_success", "ontime_first")
+    def view(kind: str, grain: str, since: dt.date) -> Column:
+        row = F.struct(F.lit(kind).alias("time_type"),
+                       period_start("order_day", grain).cast("string").alias("time_period"))
+        return F.when(F.col("order_day") >= F.lit(since), row)
 
-    return (
-        view("Daily", "day", as_of - dt.timedelta(days=10))
-        .unionByName(view("Weekly", "week", week_start))
-        .unionByName(view("Monthly", "month", previous_month))
-    )
+    views = F.array_compact(F.array(
+        view("Daily", "day", ten_days), view("Weekly", "week", week_start),
+        view("Monthly", "month", previous_month)))
+    rows = base.withColumn("__view", F.explode(views)).select(
+        "__view.*", "fromregionshortname", "orders", "success_ok", "first_ok")
+    return with_total(rows, ["time_type", "time_period"], "fromregionshortname",
+                      codes.TOTAL_LABEL,
+                      {"ontime_success": "success_ok", "ontime_first": "first_ok"})
 
 
 def weekly_region(df: DataFrame, as_of: dt.date, rule: Column, first: dt.date, last: dt.date,
                   client: int = codes.PICKUP_CLIENT_ID, output: str = "ontime") -> DataFrame:
     """On-time share per ISO week and region with a total row per week."""
     base = daily_base(in_scope(df, first, last, client), {"ok": rule}, ["fromregionshortname"])
-    base = base.withColumn("week_no", F.weekofyear("order_day"))
-    return with_total(base, "week_no", "fromregionshortname", codes.WEEKLY_TOTAL_LABEL,
+    base = base.withColumn("time", F.weekofyear("order_day"))
+    return with_total(base, ["time"], "fromregionshortname", codes.WEEKLY_TOTAL_LABEL,
                       {output: "ok"})
 
 

@@ -52,10 +52,13 @@ def latest_version(df: DataFrame, version: str = "ingestion_timestamp") -> DataF
 
 
 def calendar(spark: SparkSession, days: Iterable[str], name: str = "sla_date") -> DataFrame:
-    """An inline list of days as a one-column DATE relation, without repeats."""
-    rows = [(d,) for d in dict.fromkeys(days)]
-    return spark.createDataFrame(rows, f"{name} string").select(
-        F.col(name).cast("date").alias(name))
+    """An inline list of days as a one-column DATE relation, without repeats.
+
+    The days are literals of the plan, so the planner knows how small the
+    relation is and a join with it needs no shuffle of the other side.
+    """
+    literals = F.array(*[F.lit(d).cast("date") for d in dict.fromkeys(days)])
+    return spark.range(1).select(F.explode(literals).alias(name))
 
 
 def restrict_to_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
