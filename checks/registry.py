@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from waybill.session import use_report_clock
 
 from . import oracle_views  # noqa: F401  (fills the oracle side)
-from .views import Views, with_views
+from .views import views_of, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_report_clock(spark)
-            return fn(Views(spark, sf_dir)).select(*[_spark_column(n, k) for n, k in spec])
+            return fn(views_of(spark, sf_dir)).select(*[_spark_column(n, k) for n, k in spec])
 
         run.__name__ = name
         QUERIES[name] = run

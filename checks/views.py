@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -549,6 +550,14 @@ class Views:
         return self.spark.sql(sql, **frames)
 
 
+_KEPT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def views_of(spark: SparkSession, sf_dir: str) -> Views:
+    """The views of a folder; plans are kept per session, data never is."""
+    return _KEPT.setdefault(spark, {}).setdefault(sf_dir, Views(spark, sf_dir))
+
+
 def _protect_braces(sql: str, names: set[str]) -> str:
     """Braces that are text, not placeholders, are doubled for the formatter."""
     sql = sql.replace("{", "{{").replace("}", "}}")

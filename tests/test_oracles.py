@@ -1,4 +1,7 @@
-"""Every registered query against its SQL oracle."""
+"""Every registered query against its SQL oracle, and its plan.
+
+No plan may form all pairs of rows or leave the JVM.
+"""
 
 import pytest
 
@@ -6,6 +9,10 @@ import __spark_entry__ as entry
 from checks.compare import compare, oracle_connection
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython",
+             "MapInPandas", "FlatMapGroups")
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return oracle_connection(sf_dir)
@@ -17,8 +24,14 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_oracle(spark, con, sf_dir, name):
+    def no_pairs_and_no_python(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        for bad in FORBIDDEN:
+            assert bad not in plan
+
     _, problem, _ = compare(
-        spark, con, name, entry.queries()[name], entry.oracle_sql()[name], sf_dir)
+        spark, con, name, entry.queries()[name], entry.oracle_sql()[name], sf_dir,
+        no_pairs_and_no_python)
     assert problem is None, problem
 
 

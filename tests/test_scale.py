@@ -19,14 +19,6 @@ def views(spark, sf_dir):
     return Views(spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython",
-                "MapInPandas", "FlatMapGroups"):
-        assert bad not in text
-
-
 def test_milestones_shuffle_once(views):
     text = plan(mst.milestones(views.tracking, mst.ALL_GAPS))
     assert text.count("Exchange") == 1 and text.count("FileScan") == 1
