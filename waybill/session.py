@@ -16,9 +16,11 @@ SETTINGS = {
     # Split skewed partitions even when that costs one more shuffle later on:
     # a straggler holding a third of the rows is always dearer.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Reference tables (service levels, routes, calendars) stay well below
-    # this; anything larger falls back to the skew-aware sort-merge join.
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Before a query runs, a side is only broadcast when its estimate (which is
+    # made from compressed files) is really small, as reference tables are.
+    # While it runs, sizes are measured, so the bound may be wider.  Anything
+    # larger is joined by the skew-aware sort-merge join.
+    "spark.sql.autoBroadcastJoinThreshold": "8MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
 }
 
