@@ -64,19 +64,19 @@ def schedule(v, carriers=None):
 
 
 def eco_base(v):
-    times = mst.bounded_pending(mst.milestones(v.legacy, mst.LEGACY))
+    times = mst.bounded_pending(mst.milestones(v.legacy, mst.LEGACY, listed_only=True))
     return pen.penalty_base(v.fx_orders, v.logistic, v.logistic_data, times, v.oms, v.warehouse,
                             codes.ECONOMY_CHANNEL, True)
 
 
 def exp_base(v):
-    times = mst.milestones(v.tracking, mst.EXPRESS_PENALTY)
+    times = mst.milestones(v.tracking, mst.EXPRESS_PENALTY, listed_only=True)
     return pen.penalty_base(v.fx_orders, v.logistic, v.logistic_data, times, v.oms, v.warehouse,
                             codes.EXPRESS_CHANNEL, False)
 
 
 def case_facts(v, ids=None, extra=()):
-    times = mst.milestones(v.tracking, mst.ANOMALY)
+    times = mst.milestones(v.tracking, mst.ANOMALY, listed_only=True)
     return cases.case_base(v.fx_orders, v.logistic, v.parcel, v.fulfilment, times, extra, ids)
 
 

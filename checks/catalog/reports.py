@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from waybill.functions import codes
 from waybill.operators import attempts as att
 from waybill.operators import volume
+from waybill.operators.sla import region_route
 from waybill.plans import cases
 from waybill.plans import delivery as rep
 from waybill.plans import penalty as pen
@@ -120,6 +121,62 @@ def rep_leadtime_by_route(v):
     return rep.leadtime_by_route(base(v), FIRST, LAST)
 
 
+@query("rep_leadtime_region_route", "shipping_carrier:s route:s avg_time:f percentile_80:f "
+       "percentile_95:f order_:i", f"""
+    WITH r AS (SELECT DISTINCT lower(state) AS state, region FROM fx_regions),
+    t AS (SELECT DISTINCT ship_from, ship_to, route FROM fx_region_route),
+    x AS (SELECT DISTINCT b.* EXCLUDE (route), t.route FROM ox_lead b
+      LEFT JOIN r s ON s.state = lower(b.seller_state) LEFT JOIN r d ON d.state = lower(b.buyer_state)
+      LEFT JOIN t ON t.ship_from = s.region AND t.ship_to = d.region WHERE {DUE})
+    SELECT shipping_carrier, route, round(avg(deli_1st_leadtime), 3) AS avg_time,
+      round(quantile_disc(deli_1st_leadtime, 0.8), 3) AS percentile_80,
+      round(quantile_disc(deli_1st_leadtime, 0.95), 3) AS percentile_95,
+      count(DISTINCT lm_tracking_no) AS order_ FROM x GROUP BY 1, 2""")
+def rep_leadtime_region_route(v):
+    facts = rep.parcel_facts(v.fx_orders, v.fulfilment, v.parcel, v.tracking)
+    routed = region_route(facts, v.regions, v.region_route).distinct()
+    with_due = rep.with_allowance(routed, v.sla, v.extend, None, v.holiday)
+    return rep.leadtime_by_route(with_due, FIRST, LAST, digits=3)
+
+
+@query("rep_area_exposure", "week_:i carrier:s matches:i", f"""
+    WITH ado AS (SELECT seller_state, seller_city, buyer_state, buyer_city FROM fx_orders
+      WHERE (seller_state = 'NATION_3' AND seller_city = 'City 0')
+         OR (buyer_state = 'NATION_3' AND buyer_city = 'City 0'))
+    SELECT week({ts('o.create_timestamp - 3600')}) AS week_,
+      CASE o.fulfilment_channel_id WHEN 50024 THEN 'BEST Express' WHEN 50021 THEN 'Shopee Express'
+        WHEN 50010 THEN 'Viettel Post' WHEN 50012 THEN 'Giao Hàng Tiết Kiệm'
+        WHEN 50015 THEN 'VNPost Nhanh' WHEN 50016 THEN 'VNPost Tiết Kiệm'
+        ELSE CASE o.shipping_method_id WHEN 5001 THEN 'Giao Hàng Nhanh'
+          WHEN 5002 THEN 'Giao Hàng Nhanh - ECO' ELSE 'no' END END AS carrier,
+      sum(CASE WHEN o.seller_state = a.seller_state AND o.seller_city = a.seller_city THEN 1
+        ELSE 0 END) AS matches
+    FROM fx_orders o LEFT JOIN ado a ON a.seller_state = o.seller_state
+      AND a.seller_city = o.seller_city AND a.buyer_state = o.buyer_state
+      AND a.buyer_city = o.buyer_city
+    WHERE {day(ts('o.create_timestamp - 3600'))} BETWEEN DATE '2024-01-31' - 30
+      AND DATE '2024-01-31' GROUP BY 1, 2""")
+def rep_area_exposure(v):
+    return rep.area_report(v.fx_orders, "NATION_3", "City 0", AS_OF, 30, faithful=True)
+
+
+@query("rep_area_touching", "week_:i carrier:s touching:i as_seller:i as_buyer:i", f"""
+    SELECT week({ts('create_timestamp - 3600')}) AS week_,
+      CASE fulfilment_channel_id WHEN 50024 THEN 'BEST Express' WHEN 50021 THEN 'Shopee Express'
+        WHEN 50010 THEN 'Viettel Post' WHEN 50012 THEN 'Giao Hàng Tiết Kiệm'
+        WHEN 50015 THEN 'VNPost Nhanh' WHEN 50016 THEN 'VNPost Tiết Kiệm'
+        ELSE CASE shipping_method_id WHEN 5001 THEN 'Giao Hàng Nhanh'
+          WHEN 5002 THEN 'Giao Hàng Nhanh - ECO' ELSE 'no' END END AS carrier,
+      count(*) FILTER ((seller_state = 'NATION_3' AND seller_city = 'City 0')
+        OR (buyer_state = 'NATION_3' AND buyer_city = 'City 0')) AS touching,
+      count(*) FILTER (seller_state = 'NATION_3' AND seller_city = 'City 0') AS as_seller,
+      count(*) FILTER (buyer_state = 'NATION_3' AND buyer_city = 'City 0') AS as_buyer
+    FROM fx_orders WHERE {day(ts('create_timestamp - 3600'))} BETWEEN DATE '2024-01-31' - 60
+      AND DATE '2024-01-31' GROUP BY 1, 2""")
+def rep_area_touching(v):
+    return rep.area_report(v.fx_orders, "NATION_3", "City 0", AS_OF)
+
+
 ALL_ROW = ("SELECT DISTINCT lm_tracking_no, pickup_done_time, buyer_state, buyer_city, tpl_call, "
            "first_attempt_delivery_time, delivery_done_time, delivery_failed, "
            "dli_pending_tracking_time, check_delivery_ontime, route, expected_delivery "

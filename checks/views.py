@@ -340,7 +340,9 @@ def fx_region_route(d):
     return f"""
     SELECT 'Region ' || {d.text('r_regionkey')} AS ship_from,
       'Region ' || {d.text(d.idiv('k', '2'))} AS ship_to,
-      {d.text('(r_regionkey + k) % 5 + 2')} AS sla, k % 2 + 1 AS ingestion_timestamp
+      {d.text('(r_regionkey + k) % 5 + 2')} AS sla, k % 2 + 1 AS ingestion_timestamp,
+      CASE WHEN r_regionkey = {d.idiv('k', '2')} THEN 'Intra Region' ELSE 'Inter Region' END
+        AS route
     FROM {d.repeat('region', 10, 'k')} x"""
 
 

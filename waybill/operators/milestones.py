@@ -98,7 +98,8 @@ def milestones(tracking: DataFrame, spec: Mapping[str, Milestone], key: str = KE
     which also flattens hot parcels); timestamps are made afterwards.
 
     Parcels without a listed event keep a row of NULLs.  When the caller drops
-    those anyway, ``listed_only`` pushes the code filter into the scan.
+    those, or outer-joins the result to parcels, ``listed_only`` gives the same
+    rows and pushes the code filter into the scan of the log.
     """
     if listed_only:
         wanted: dict[str, list] = {}

@@ -113,6 +113,18 @@ def sla_region(df: DataFrame, regions: DataFrame, route: DataFrame) -> DataFrame
                    & (F.col("buyer_region") == F.col("ship_to")), "left")
 
 
+def region_route(df: DataFrame, regions: DataFrame, route: DataFrame) -> DataFrame:
+    """Adds ``route`` by seller and buyer region from unversioned tables.
+
+    All rows of both tables count, so several uploads of a state repeat a
+    parcel unless they agree; callers that want the newest one filter first.
+    """
+    df = role_lookup(df, regions, "state", "region",
+                     {"seller_state": "__from", "buyer_state": "__to"})
+    return ci_lookup(df, route, {"__from": "ship_from", "__to": "ship_to"}, ["route"]).drop(
+        "__from", "__to")
+
+
 def _address(state: str, city: str, district: str | None = None) -> Column:
     parts = [F.col(state), F.lit("-"), F.col(city)]
     if district:

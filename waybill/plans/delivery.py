@@ -41,23 +41,29 @@ def parcel_facts(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame,
     link = fulfilment.select("log_id", "order_id", *fulfilment_columns)
     place = orders.select("order_id", "seller_state", "seller_city", "buyer_state", "buyer_city",
                           "buyer_district", *order_columns)
-    times = mst.milestones(tracking, spec)
+    times = mst.milestones(tracking, spec, listed_only=True)
     facts = times.join(head.join(link, "log_id"), "log_id", "right").join(place, "order_id")
     return facts.drop("order_id", *([] if keep_id else ["log_id"])).distinct()
 
 
-def with_allowance(facts: DataFrame, sla: DataFrame, extend: DataFrame, routes: DataFrame,
-                   calendar: DataFrame, bonus: float = 0.0, holiday_mode: str = "rows",
-                   pickup: str = "pku_done_time", first: str = "deli_1st_time") -> DataFrame:
-    """Adds carrier, route, service level, Sundays, holidays and due date."""
-    df = route_lookup(facts, routes)
+def with_allowance(facts: DataFrame, sla: DataFrame, extend: DataFrame,
+                   routes: DataFrame | None, calendar: DataFrame, bonus: float = 0.0,
+                   holiday_mode: str = "rows", pickup: str = "pku_done_time",
+                   first: str = "deli_1st_time",
+                   carrier: str = "lm_shipment_company") -> DataFrame:
+    """Adds carrier, route, service level, Sundays, holidays and due date.
+
+    ``routes=None`` keeps the route the facts already carry (for instance from
+    :func:`~waybill.operators.sla.region_route`).  ``carrier`` is the column
+    the holiday calendar is matched by.
+    """
+    df = facts if routes is None else route_lookup(facts, routes)
     df = sla_days(df, sla, extend, "fulfillment_channel_id", bonus)
     df = df.withColumns({
         "shipping_carrier": classify.two_carrier_label("fulfillment_channel_id"),
         "d_sundays": sundays_between(pickup, first),
     })
-    df = holiday_days(df, calendar, "lm_shipment_company", F.col(pickup), day(first),
-                      mode=holiday_mode)
+    df = holiday_days(df, calendar, carrier, F.col(pickup), day(first), mode=holiday_mode)
     return dlv.with_due_date(
         df, pickup, F.col("sla") + F.col("d_sundays") + F.col("d_holidays"))
 
@@ -159,10 +165,11 @@ def deep_dive(base: DataFrame, wide: DataFrame) -> DataFrame:
 
 # --- lead times ----------------------------------------------------------------
 
-def leadtime_by_route(base: DataFrame, first: str, last: str) -> DataFrame:
+def leadtime_by_route(base: DataFrame, first: str, last: str, digits: int = 1) -> DataFrame:
     """Mean, p80, p95 of pickup-to-first-attempt and parcels per carrier and route."""
     lead = base.withColumn("deli_1st_leadtime", gap_days("pku_done_time", "deli_1st_time", 1))
-    return dlv.leadtime_stats(_due_between(lead, first, last), ["shipping_carrier", "route"])
+    return dlv.leadtime_stats(
+        _due_between(lead, first, last), ["shipping_carrier", "route"], digits=digits)
 
 
 def leadtime_two_periods(base: DataFrame, left, right, faithful: bool = False,
@@ -286,7 +293,7 @@ def attempts_report(orders: DataFrame, parcel: DataFrame, tracking: DataFrame,
 
 def _open_with_order(orders: DataFrame, parcel: DataFrame, tracking: DataFrame,
                      carriers: Sequence[str] | None, parcel_columns=()) -> DataFrame:
-    times = mst.milestones(tracking, mst.BACKLOG)
+    times = mst.milestones(tracking, mst.BACKLOG, listed_only=True)
     link = single_order_sn(parcel).select("order_sn", "log_id", "lm_tracking_no", *parcel_columns)
     head = orders.select("order_sn", "create_timestamp", "fulfilment_shipping_carrier",
                          "logistics_status", "logistics_status_id", "buyer_state", "buyer_city",
@@ -351,3 +358,23 @@ def leadtime_columns() -> dict[str, Column]:
         "deli_1st_leadtime": leadtime_days("pku_done_time", "deli_1st_time"),
         "deli_done_hours": elapsed("hour", F.col("pku_done_time"), F.col("deli_done_time")),
     }
+
+
+def area_report(orders: DataFrame, state: str, city: str, as_of: dt.date, days: int = 60,
+                faithful: bool = False) -> DataFrame:
+    """Orders of the last days per creation week and carrier that touch a city.
+
+    ``faithful`` counts an order once per occurrence of its address pair among
+    all orders of the area, as matching against the undistinct list does.
+    """
+    created = F.timestamp_seconds(F.col("create_timestamp") - 3600)
+    recent = orders.where(F.to_date(created).between(
+        F.lit(as_of - dt.timedelta(days=days)), F.lit(as_of)))
+    by = {"week_": iso_week(created), "carrier": classify.area_carrier_label()}
+    if not faithful:
+        return dlv.area_exposure(recent, state, city, [c.alias(n) for n, c in by.items()])
+    touching = orders.where(
+        ((F.col("seller_state") == state) & (F.col("seller_city") == city))
+        | ((F.col("buyer_state") == state) & (F.col("buyer_city") == city)))
+    counted = dlv.area_exposure_listed(recent, touching, list(by.values()))
+    return counted.withColumnsRenamed({f"__g{i}": n for i, n in enumerate(by)})

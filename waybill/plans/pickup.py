@@ -23,7 +23,7 @@ def schedule_facts(fulfilment: DataFrame, parcel: DataFrame, tracking: DataFrame
     link = fulfilment.select("log_id", "order_id", "order_arrange_shipping_timestamp")
     asked = requests.select("log_id", "pickup_time")
     joined = (
-        mst.milestones(tracking, spec).join(link, "log_id", "right")
+        mst.milestones(tracking, spec, listed_only=True).join(link, "log_id", "right")
         .join(head, "log_id", "left").join(asked, "log_id", "left")
     )
     facts = pu.pickup_schedule(joined).withColumn(
