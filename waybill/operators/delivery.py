@@ -77,15 +77,25 @@ def percentile(value, p: float, accuracy: int = 10000) -> Column:
     return F.percentile_approx(value, p, accuracy)
 
 
-def leadtime_stats(df: DataFrame, by: Sequence, leadtime: str = "deli_1st_leadtime",
+def leadtime_stats(df: DataFrame, by: Sequence[str], leadtime: str = "deli_1st_leadtime",
                    parcel: str = "lm_tracking_no", digits: int = 1) -> DataFrame:
-    """Mean, 80th and 95th percentile of the lead time and distinct parcels."""
-    return df.groupBy(*by).agg(
+    """Mean, 80th and 95th percentile of the lead time and distinct parcels.
+
+    The distinct count is an aggregate of its own, joined per group: together
+    with the percentiles it would make Spark keep one sketch per parcel, while
+    alone the sketches are per task and group.
+    """
+    figures = df.groupBy(*by).agg(
         F.round(F.avg(leadtime), digits).alias("avg_time"),
         F.round(percentile(leadtime, 0.8), digits).alias("percentile_80"),
-        F.round(percentile(leadtime, 0.95), digits).alias("percentile_95"),
-        F.count_distinct(parcel).alias("order_"),
-    )
+        F.round(percentile(leadtime, 0.95), digits).alias("percentile_95"))
+    names = [f"__g{i}" for i in range(len(by))]
+    parcels = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(
+        F.count_distinct(parcel).alias("order_"))
+    same = F.lit(True)
+    for column, name in zip(by, names):
+        same = same & F.col(column).eqNullSafe(F.col(name))
+    return figures.join(parcels, same).drop(*names)
 
 
 def compare_periods(df: DataFrame, by: Sequence[str], periods: Mapping[str, tuple[str, str]],

@@ -178,52 +178,61 @@ def remote_addon(df: DataFrame, remote: DataFrame) -> DataFrame:
 
 # --- holidays ----------------------------------------------------------------
 
-def _holiday_lists(cal: DataFrame, kind: str) -> DataFrame:
-    """Carrier -> its holidays of the newest calendar.
+def _holiday_lists(cal: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Carrier -> its holidays of the newest calendar, one list per kind.
 
     A carrier's list is bounded by the days of the calendar: repeated uploads
     of a (day, length) pair are collapsed before the lists are made.
     """
     days = (
-        latest_version(cal).where(F.col("type") == kind)
-        .select(F.lower("shipping_carrier").alias("__carrier"),
+        latest_version(cal).where(F.col("type").isin(*kinds))
+        .select(F.lower("shipping_carrier").alias("__carrier"), "type",
                 F.col("holiday_start").cast("date").alias("first"),
                 F.col("nb_holiday").cast("int").alias("nb"))
         .distinct()
     )
-    return days.groupBy("__carrier").agg(
-        F.collect_list(F.struct("first", "nb")).alias("__days"))
+    return days.groupBy("__carrier").agg(*[
+        F.collect_list(F.when(F.col("type") == k, F.struct("first", "nb"))).alias(f"__days_{k}")
+        for k in kinds])
 
 
-def holiday_days(df: DataFrame, cal: DataFrame, carrier: str, start, end,
-                 kind: str = "delivery", output: str = "d_holidays",
-                 mode: str = "rows") -> DataFrame:
-    """Adds the holiday length of calendar entries that begin in [start, end].
+def holidays_in_windows(df: DataFrame, cal: DataFrame, carrier: str,
+                        windows: dict[str, tuple[str, Column, Column]],
+                        mode: str = "rows") -> DataFrame:
+    """Adds, per window, the length of the holidays that begin in it.
 
-    The calendar is joined once per carrier as a short list and searched per
-    row, so facts are neither shuffled nor multiplied by the range condition.
+    ``windows`` maps output -> (kind, start, last day or instant).  The calendar
+    is joined once, as short lists per carrier, and searched per row, so facts
+    are neither shuffled nor multiplied by the range conditions.
     ``mode='rows'`` repeats a row per different length found (several holidays
     in one window), ``mode='sum'`` adds the lengths up and keeps one row.
     No holiday gives 0.
     """
-    joined = df.join(_holiday_lists(cal, kind),
-                     F.lower(F.col(carrier)) == F.col("__carrier"), "left")
-    hits = F.filter("__days", lambda d: d["first"].between(day(start), end))
-    lengths = F.transform(hits, lambda d: F.coalesce(d["nb"], F.lit(0)))
+    kinds = list(dict.fromkeys(kind for kind, _, _ in windows.values()))
+    out = df.join(_holiday_lists(cal, kinds),
+                  F.lower(F.col(carrier)) == F.col("__carrier"), "left")
+
+    def lengths(kind: str, start: Column, last: Column) -> Column:
+        hits = F.filter(f"__days_{kind}", lambda d: d["first"].between(day(start), last))
+        return F.transform(hits, lambda d: F.coalesce(d["nb"], F.lit(0)))
+
     if mode == "sum":
-        total = F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
-        out = joined.withColumn(output, F.coalesce(total, F.lit(0)).cast("double"))
+        total = {n: F.aggregate(lengths(*w), F.lit(0), lambda a, b: a + b)
+                 for n, w in windows.items()}
+        out = out.withColumns({n: F.coalesce(c, F.lit(0)).cast("double")
+                               for n, c in total.items()})
     else:
-        out = joined.withColumn("__nb", F.explode_outer(F.array_distinct(lengths)))
-        out = out.withColumn(output, F.coalesce(F.col("__nb"), F.lit(0)).cast("double")).drop(
-            "__nb")
-    return out.drop("__carrier", "__days")
+        for name, window in windows.items():
+            found = F.array_distinct(lengths(*window))
+            # an empty list still gives one row, without a length
+            out = out.withColumn(name, F.explode_outer(found))
+        out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("double")
+                               for n in windows})
+    return out.drop("__carrier", *[f"__days_{k}" for k in kinds])
 
 
-def holidays_in_windows(df: DataFrame, cal: DataFrame, carrier: str,
-                        windows: dict[str, tuple[str, Column, Column]],
-                        mode: str = "rows") -> DataFrame:
-    """Several holiday columns at once: output -> (kind, start, last day)."""
-    for output, (kind, start, last) in windows.items():
-        df = holiday_days(df, cal, carrier, start, last, kind, output, mode)
-    return df
+def holiday_days(df: DataFrame, cal: DataFrame, carrier: str, start, end,
+                 kind: str = "delivery", output: str = "d_holidays",
+                 mode: str = "rows") -> DataFrame:
+    """One window of :func:`holidays_in_windows`."""
+    return holidays_in_windows(df, cal, carrier, {output: (kind, start, end)}, mode)
