@@ -189,9 +189,8 @@ def join_fanout(v):
         ((F.col("seller_state") == "NATION_3") & (F.col("seller_city") == "City 0"))
         | ((F.col("buyer_state") == "NATION_3") & (F.col("buyer_city") == "City 0")))
     week = iso_week(F.timestamp_seconds(F.col("create_timestamp") - 3600))
-    out = delivery.area_exposure_listed(
-        orders, listed, [week, F.col("fulfilment_shipping_carrier")])
-    return out.withColumnsRenamed({"__g0": "week_", "__g1": "carrier"})
+    return delivery.area_exposure_listed(
+        orders, listed, {"week_": week, "carrier": F.col("fulfilment_shipping_carrier")})
 
 
 @query("join_semi", "ordercode:i", """

@@ -117,7 +117,7 @@ def test_same_rows_without_broadcast(spark, sf_dir, name):
 def test_area_matches_equal_the_pairwise_join(spark, views):
     orders = views.fx_orders
     listed = orders.where("seller_city = 'City 1'")
-    by_pair = delivery.area_exposure_listed(orders, listed, ["seller_state"])
+    by_pair = delivery.area_exposure_listed(orders, listed, {"s": F.col("seller_state")})
     pairs = orders.select("seller_state", *[F.col(c).alias(f"o_{c}") for c in delivery.PAIR]).join(
         listed.select(*[F.col(c).alias(f"l_{c}") for c in delivery.PAIR]),
         [F.col(f"o_{c}") == F.col(f"l_{c}") for c in delivery.PAIR], "left")

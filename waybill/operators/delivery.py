@@ -234,25 +234,19 @@ def area_exposure(df: DataFrame, state: str, city: str, by: Sequence) -> DataFra
 PAIR = ("seller_state", "seller_city", "buyer_state", "buyer_city")
 
 
-def area_exposure_listed(df: DataFrame, listed: DataFrame, by: Sequence) -> DataFrame:
+def area_exposure_listed(df: DataFrame, listed: DataFrame,
+                         by: Mapping[str, Column]) -> DataFrame:
     """Matches of each order with every occurrence of its address pair in
     ``listed``, as a join on the undistinct list counts them.
 
     Both sides are counted per address pair first and the counts multiplied,
     so no pair of rows is ever formed.
     """
-    names = [f"__g{i}" for i in range(len(by))]
-    outs = []
-    groups = []
-    for name, g in zip(names, by):
-        column = g if isinstance(g, Column) else F.col(g)
-        groups.append(column.alias(name))
-        outs.append(name)
-    rows = df.groupBy(*groups, *PAIR).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = df.groupBy(*[c.alias(n) for n, c in by.items()], *PAIR).agg(
+        F.count(F.lit(1)).alias("__rows"))
     hits = listed.where(_complete_pair()).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("__hits"))
-    joined = rows.join(hits, list(PAIR), "left")
     matches = F.sum(F.coalesce(F.col("__rows") * F.col("__hits"), F.lit(0)))
-    return joined.groupBy(*outs).agg(matches.alias("matches"))
+    return rows.join(hits, list(PAIR), "left").groupBy(*by).agg(matches.alias("matches"))
 
 
 def _complete_pair() -> Column:

@@ -376,5 +376,4 @@ def area_report(orders: DataFrame, state: str, city: str, as_of: dt.date, days:
     touching = orders.where(
         ((F.col("seller_state") == state) & (F.col("seller_city") == city))
         | ((F.col("buyer_state") == state) & (F.col("buyer_city") == city)))
-    counted = dlv.area_exposure_listed(recent, touching, list(by.values()))
-    return counted.withColumnsRenamed({f"__g{i}": n for i, n in enumerate(by)})
+    return dlv.area_exposure_listed(recent, touching, by)
