@@ -14,14 +14,14 @@ from waybill.operators import fees, penalty, volume
 from waybill.operators import milestones as mst
 from waybill.operators import orders as ord_
 from waybill.operators import sla as sl
-from waybill.operators.pickup import pickup_kpis, pickup_schedule
+from waybill.operators.pickup import pickup_kpis
 from waybill.plans import cases
 from waybill.plans import delivery as rep
 from waybill.plans import penalty as pen
 from waybill.plans import pickup as pu_rep
 from waybill.sources import scans
 
-from ..oracle_views import CARRIER_LABEL, ORDER_STATE, PARCEL_STATE, day, kpis, newest, ts
+from ..oracle_views import CARRIER_LABEL, ORDER_STATE, PARCEL_STATE, day, kpis, sundays, ts
 from ..registry import query
 
 AS_OF = dt.date(2024, 1, 31)
@@ -398,8 +398,8 @@ def dom_sundays(v):
 
 
 @query("dom_sundays_orders", "ordercode:i sundays:f", """
-    SELECT ordercode, """ + __import__("checks.oracle_views", fromlist=["sundays"]).sundays(
-        "orderdate", "TIMESTAMP '2024-01-31 10:00:00'") + """ AS sundays FROM fx_created""")
+    SELECT ordercode, """ + sundays("orderdate", "TIMESTAMP '2024-01-31 10:00:00'")
+       + " AS sundays FROM fx_created")
 def dom_sundays_orders(v):
     end = F.lit("2024-01-31 10:00:00").cast("timestamp")
     return v.created.select("ordercode", t.sundays_between("orderdate", end).alias("sundays"))

@@ -6,9 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
-from waybill.functions import classify
-from waybill.functions.times import iso_week, sundays_between
-from waybill.operators import attempts, delivery, lookups, milestones, pickup, volume
+from waybill.functions.times import iso_week
+from waybill.operators import attempts, delivery, lookups, milestones, pickup
 from waybill.operators import orders as ord_
 from waybill.operators.sla import holiday_days, route_lookup, sla_region
 from waybill.sources import scans

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from waybill.functions import classify, codes
 from waybill.functions.times import iso_week, month_label, period_start
 from waybill.operators.lookups import exists_flag
-from waybill.operators.pickup import hub_type
+from waybill.operators.orders import multi_parcel
+from waybill.operators.pickup import hub_type, not_cancelled_same_day
 from waybill.sources import marts, scans
 
 from ..registry import query
@@ -307,7 +308,6 @@ def filter_not(v):
     SELECT ordercode FROM fx_created WHERE NOT (currentstatus = 'cancel'
       AND CAST(canceltime AS DATE) <= CAST(orderdate AS DATE))""")
 def filter_not_and(v):
-    from waybill.operators.pickup import not_cancelled_same_day
     return v.created.where(not_cancelled_same_day())
 
 
@@ -360,7 +360,6 @@ def proj_period_label(v):
       AS multi FROM fx_orders o LEFT JOIN (SELECT order_id FROM fx_oms
         GROUP BY order_id HAVING count(DISTINCT forder_id) > 1) m ON m.order_id = o.order_id""")
 def join_exists_flag(v):
-    from waybill.operators.orders import multi_parcel
     flagged = exists_flag(v.fx_orders, multi_parcel(v.oms, "order_id", "forder_id"),
                           ["order_id"], "is_multi")
     return flagged.withColumn("multi", F.when(F.col("is_multi"), "Multi WH").otherwise(

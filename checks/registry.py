@@ -5,7 +5,7 @@ same projection is put around the Spark result and around the oracle SQL, so
 that both sides name and type their columns alike:
 
 i bigint · f double rounded to 4 digits (both sides lifted by 1e-9, so that sums
-taken in another order cannot land on different sides of a tie) · s text · t 'yyyy-MM-dd HH:mm:ss' ·
+taken in another order cannot land on different sides of a tie; no negative zero) · s text · t 'yyyy-MM-dd HH:mm:ss' ·
 d 'yyyy-MM-dd'
 """
 
@@ -32,7 +32,7 @@ def _spark_column(name: str, kind: str):
     c = F.col(f"`{name}`")
     return {
         "i": lambda: c.cast("bigint"), "s": lambda: c.cast("string"),
-        "f": lambda: F.round(c.cast("double") + F.lit(1e-9), 4),
+        "f": lambda: F.round(c.cast("double") + F.lit(1e-9), 4) + F.lit(0.0),
         "t": lambda: F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"),
         "d": lambda: F.date_format(c.cast("date"), "yyyy-MM-dd"),
     }[kind]().alias(name)
@@ -42,7 +42,7 @@ def _duck_column(name: str, kind: str) -> str:
     q = f'"{name}"'
     return {
         "i": f"CAST({q} AS BIGINT)", "s": f"CAST({q} AS VARCHAR)",
-        "f": f"round(CAST({q} AS DOUBLE) + 1e-9, 4)",
+        "f": f"round(CAST({q} AS DOUBLE) + 1e-9, 4) + 0.0",
         "t": f"strftime(CAST({q} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')",
         "d": f"strftime(CAST({q} AS DATE), '%Y-%m-%d')",
     }[kind] + f" AS {q}"

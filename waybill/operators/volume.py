@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.times import REPORT_SHIFT, from_epoch, month_label
-from .delivery import flag_sum
 
 
 def volume_mix(orders: DataFrame, items: DataFrame, first: str, last: str) -> DataFrame:

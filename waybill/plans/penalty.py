@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import codes
 from ..functions.classify import is_dropoff
 from ..functions.times import REPORT_SHIFT, day, from_epoch
-from ..operators import milestones as mst
 from ..operators import orders as ord_
 from ..operators import penalty as pen
 from ..operators.sla import holidays_in_windows, remote_addon, sla_express, sla_region
