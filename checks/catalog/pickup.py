@@ -25,50 +25,36 @@ EVENT_DAYS = ("2024-01-05", "2024-01-06", "2024-01-07", "2024-01-14", "2024-01-2
 SCOPE = "clientid = 18692 AND isexpecteddropoff = false AND NOT channel = 'WH - Shopee'"
 LIVE = f"{SCOPE} AND currentstatus <> 'cancel'"
 RANGE = f"{D} BETWEEN DATE '2024-01-03' AND DATE '2024-01-30'"
-INCIDENT = (f"(firstfailpicknote = 'Nhân viên gặp sự cố' AND {FU} <> {SC} AND {FU} >= {D})")
-TOUCH = f"CAST(coalesce(firstupdatedpickeduptime, endpicktime, TIMESTAMP '2024-01-31') AS DATE)"
-LATE_ORDER = "hour(orderdate) >= 18"
+NOTE = f"firstfailpicknote IS NOT DISTINCT FROM '{codes.INCIDENT_NOTE}'"
+INCIDENT = f"({NOTE} AND coalesce({FU} <> {SC} AND {FU} >= {D}, false))"
+EVENT = f"list_contains({list(EVENT_DAYS)}, CAST({D} AS VARCHAR))"
+# days of slack: one for orders from 18:00 on, one on event days
+LATE, GRACE = "CAST(hour(orderdate) >= 18 AS INTEGER)", f"CAST({EVENT} AS INTEGER)"
 
 
-def _v1(touch=TOUCH):
-    return (f"(hour(orderdate) < 18 AND {touch} <= {D}) OR "
-            f"({LATE_ORDER} AND {touch} <= {D} + 1)")
+def within(x, slack="0"):
+    """1 when date x is at most ``slack`` days after the order day."""
+    return f"CAST(coalesce(date_diff('day', {D}, {x}) <= {slack}, false) AS INTEGER)"
 
 
-def case(test, yes=1, no=0):
-    return f"CASE WHEN {test} THEN {yes} ELSE {no} END"
+def unless_incident(flag):
+    return f"if({INCIDENT}, 0, {flag})"
 
 
-V1 = case(_v1())
-V2 = f"CASE WHEN {INCIDENT} THEN 0 WHEN {_v1()} THEN 1 ELSE 0 END"
-V2_OPEN = (f"CASE WHEN {INCIDENT} THEN 0 WHEN "
-           f"{_v1('CAST(coalesce(firstupdatedpickeduptime, endpicktime) AS DATE)')} "
-           "THEN 1 ELSE 0 END")
-
-
-def _branch(limit):
-    second = "coalesce(firstfailpicknote, '') = 'Nhân viên gặp sự cố'"
-    other = "coalesce(firstfailpicknote, '') <> 'Nhân viên gặp sự cố'"
-    both = "CAST(coalesce(firstupdatedpickeduptime, secondupdatedpickeduptime) AS DATE)"
-    return (f"(({second} AND secondupdatedpickeduptime IS NOT NULL AND {SU} <= {limit}) OR "
-            f"({other} AND {both} IS NOT NULL AND {both} <= {limit}))")
-
-
-SAME_DAY = f"endpicktime IS NOT NULL AND {EP} <= {D}"
-V3 = (f"CASE WHEN {SAME_DAY} THEN 1 WHEN hour(orderdate) < 18 AND {_branch(D)} THEN 1 "
-      f"WHEN {LATE_ORDER} AND {_branch(D + ' + 1')} THEN 1 ELSE 0 END")
-V4 = f"CASE WHEN {SAME_DAY} THEN 1 WHEN {_branch(D)} THEN 1 ELSE 0 END"
-SUCCESS = case(f"(hour(orderdate) < 18 AND {EP} <= {D}) OR ({LATE_ORDER} AND "
-               f"coalesce({EP}, {TODAY}) <= {D} + 1)")
-SUCCESS2 = f"CASE WHEN {INCIDENT} THEN 0 ELSE {SUCCESS} END"
-PICKED = case("endpicktime IS NOT NULL")
-EVENT = "(" + " OR ".join(f"{D} = DATE '{d}'" for d in EVENT_DAYS) + ")"
-JUDGED = "NOT (currentstatus = 'cancel' AND CAST(canceltime AS DATE) <= CAST(orderdate AS DATE))"
-PEN1 = case(f"({LATE_ORDER} AND {EVENT} AND {TOUCH} <= {D} + 2) OR ({LATE_ORDER} AND {TOUCH} <= "
-            f"{D} + 1) OR (hour(orderdate) < 18 AND {EVENT} AND {TOUCH} <= {D} + 1) OR "
-            f"(hour(orderdate) < 18 AND {TOUCH} <= {D})")
-PEN2 = f"CASE WHEN {INCIDENT} THEN 0 ELSE {PEN1} END"
-PEN_DAY = f"CASE WHEN {EVENT} AND {TOUCH} <= {D} + 1 THEN 1 WHEN {TOUCH} <= {D} THEN 1 ELSE 0 END"
+TOUCH = f"coalesce({FU}, {EP}, {TODAY})"
+V1 = within(TOUCH, LATE)
+V2 = unless_incident(V1)
+V2_OPEN = unless_incident(within(f"coalesce({FU}, {EP})", LATE))
+CONTACT = f"if({NOTE}, {SU}, coalesce({FU}, {SU}))"
+V3 = f"greatest({within(EP)}, {within(CONTACT, LATE)})"
+V4 = f"greatest({within(EP)}, {within(CONTACT)})"
+SUCCESS = within(f"if({LATE} = 1, coalesce({EP}, {TODAY}), {EP})", LATE)
+SUCCESS2 = unless_incident(SUCCESS)
+PICKED = "CAST(endpicktime IS NOT NULL AS INTEGER)"
+JUDGED = f"NOT (currentstatus = 'cancel' AND {day('canceltime')} <= {D})"
+PEN1 = within(TOUCH, f"{LATE} + {GRACE}")
+PEN2 = unless_incident(PEN1)
+PEN_DAY = within(TOUCH, GRACE)
 
 
 def start(grain, x="orderdate"):
@@ -91,7 +77,7 @@ per_order("dom_pu_ontime_v4", V4, pu.ontime_first_v4)
 
 
 @query("dom_pu_success", "ordercode:i success:i success2:i same_day:i picked:i late:i label:s", f"""
-    SELECT ordercode, {SUCCESS} AS success, {SUCCESS2} AS success2, {case(f'{EP} <= {D}')}
+    SELECT ordercode, {SUCCESS} AS success, {SUCCESS2} AS success2, {within(EP)}
       AS same_day, {PICKED} AS picked, 1 - {SUCCESS} AS late,
       CASE WHEN {V3} = 1 THEN 'Ontime' ELSE 'Late' END AS label
     FROM fx_created WHERE {SCOPE}""")
@@ -166,7 +152,7 @@ def weekly_sql(grain, number):
     since = f"{D} BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'"
     return f"""
     WITH d AS (SELECT {start(grain)} AS p, count(DISTINCT ordercode) AS n, sum({V4}) AS f,
-      sum({case(f'{EP} <= {D}')}) AS s, sum({PICKED}) AS k FROM fx_created
+      sum({within(EP)}) AS s, sum({PICKED}) AS k FROM fx_created
       WHERE {LIVE} AND {since} GROUP BY 1),
     e AS (SELECT {start(grain)} AS p, count(DISTINCT ordercode) AS n, sum({PEN_DAY}) AS f
       FROM fx_created WHERE {SCOPE} AND {JUDGED}
