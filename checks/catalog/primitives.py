@@ -13,6 +13,7 @@ from waybill.operators.orders import multi_parcel
 from waybill.operators.pickup import hub_type, not_cancelled_same_day
 from waybill.sources import marts, scans
 
+from ..oracle_views import PARCEL_STATE
 from ..registry import query
 
 SNAPSHOT_DAY = dt.date(1998, 6, 2)
@@ -146,14 +147,8 @@ def proj_constants(v):
                            F.lit("Daily").alias("kind"))
 
 
-PARCEL_STATE_SQL = """CASE {x} WHEN 1000 THEN 'NEW' WHEN 1040 THEN 'INFO_RECEIVED'
-      WHEN 3060 THEN 'IN_TRANSIT' WHEN 4097 THEN 'DOMESTIC_DELIVERED'
-      WHEN 8050 THEN 'RETURN_COMPLETED' WHEN 9998 THEN 'PARCEL_LOST'
-      WHEN 4102 THEN 'REQUEST_RETURN' ELSE 'no' END"""
-
-
 @query("proj_case", "log_id:i state:s", f"""
-    SELECT log_id, {PARCEL_STATE_SQL.format(x='parcel_logistics_status_code')} AS state
+    SELECT log_id, {PARCEL_STATE.format(x='parcel_logistics_status_code')} AS state
     FROM fx_parcel""")
 def proj_case(v):
     return v.parcel.select(
