@@ -77,14 +77,14 @@ class Codec:
         self.pattern = regex.compile(pattern)
         whole = self.processor.encode([as_chars(t) for t in self.tokens], num_threads=1)
         self.direct = {t: rank for rank, (t, ids) in enumerate(zip(self.tokens, whole, strict=True)) if ids != [rank]}
-        self.encoder = PartEncoder(self._encode_parts)
-
-    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
-        words = [[w.encode() for w in self.pattern.findall(p)] for p in parts]
-        flat = list(dict.fromkeys(w for ws in words for w in ws))
-        ids = dict(zip(flat, self.processor.encode([as_chars(w) for w in flat], num_threads=1), strict=True))
-        ids.update((w, [self.direct[w]]) for w in flat if w in self.direct)
-        return [[i for w in ws for i in ids[w]] for ws in words]
+        self.encoder = PartEncoder(self._encode_part)
+
+    def _encode_part(self, part: str) -> list[int]:
+        out: list[int] = []
+        for word in self.pattern.findall(part):
+            raw = word.encode()
+            out += [self.direct[raw]] if raw in self.direct else self.processor.encode(as_chars(raw))
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

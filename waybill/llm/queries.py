@@ -48,3 +48,33 @@ def op8_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpecodec import round_trip
 
     return round_trip(_documents(spark, sf_dir), default_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_registered
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every document, the base test, and the verdict of weak supervision."""
+    from .quality_rules import judge
+
+    return judge(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@_registered
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from .toxicity import classify
+
+    return classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@_registered
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    from pyspark.sql import functions as F
+
+    from .vectors import search
+
+    bounded_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))

@@ -9,12 +9,14 @@ which makes a lookup the common case; the library only sees parts that are new t
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
-
-import numpy as np
+import re
+from array import array
+from collections.abc import Callable
 
 #: Parts a worker remembers before it starts afresh; longer parts than PART_CHARS are not remembered.
-MEMORY_PARTS, PART_CHARS = 400_000, 64
+MEMORY_PARTS, PART_CHARS = 500_000, 64
+_SPACE_PAIRS = tuple(pair for c in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f" for pair in (" " + c, c + " "))
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def default_path(name: str) -> str:
@@ -24,41 +26,43 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PartEncoder:
-    """``encode_parts`` maps a list of strings to a list of id arrays; ``special`` are strings that must not be cut."""
+class _Known(dict):
+    """Ids of the parts seen so far, by the part without its space; a new part is encoded when it is first looked up."""
 
-    def __init__(self, encode_parts: Callable[[list[str]], Iterable], special: tuple[str, ...] = ()):
-        self.encode_parts, self.special = encode_parts, special
-        self.known: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
 
-    def parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if any(" " in s and s in text for s in self.special):
-            return [text]
-        pieces = text.split(" ")
-        if text[0].isspace() or text[-1].isspace() or not all(pieces) or _edge_space(text):
-            return _careful_parts(pieces)
-        return [pieces[0], *[" " + p for p in pieces[1:]]]
+    def __missing__(self, part: str) -> bytes:
+        found = array("I", self.encode(" " + part)).tobytes()
+        if len(part) <= PART_CHARS:
+            self[part] = found
+        return found
+
+
+class PartEncoder:
+    """Encodes by parts; ``encode`` maps a string to its ids, ``special`` are strings that must not be cut."""
+
+    def __init__(self, encode: Callable[[str], list[int]], special: tuple[str, ...] = ()):
+        self.special, self.known = tuple(s for s in special if " " in s), _Known(encode)
 
     def ids(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
-        parts, known = self.parts(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
+        known, alone = self.known, self._alone
+        if not text or any(s in text for s in self.special):
+            return alone(text)
         if len(known) > MEMORY_PARTS:
             known.clear()
-        new = list(dict.fromkeys(p for p in parts if p not in known))
-        found = dict(zip(new, (np.asarray(i, "<u4").tobytes() for i in self.encode_parts(new)), strict=True))
-        known.update((p, i) for p, i in found.items() if len(p) <= PART_CHARS)
-        return b"".join(known[p] if p in known else found[p] for p in parts)
-
+        pieces = text.split(" ")
+        if (text[0].isspace() or text[-1].isspace() or not all(pieces) or any(p in text for p in _SPACE_PAIRS)
+                or not text.isascii() and _WIDE_SPACE.search(text)):
+            return b"".join(known[p[1:]] if p[0] == " " else alone(p) for p in _careful_parts(pieces))
+        first, pieces[0] = alone(pieces[0]), ""
+        known[""] = b""
+        return first + b"".join(map(known.__getitem__, pieces))
 
-def _edge_space(text: str) -> bool:
-    return any(" " + c in text or c + " " in text for c in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　") or any(
-        0x2000 <= ord(c) <= 0x200A for c in set(text) if c > "῿")
+    def _alone(self, part: str) -> bytes:
+        return array("I", self.known.encode(part)).tobytes()
 
 
 def _careful_parts(pieces: list[str]) -> list[str]:
@@ -74,39 +78,63 @@ def _careful_parts(pieces: list[str]) -> list[str]:
     return [" ".join(r) for r in out if r != [""]]
 
 
-_encoders: dict[tuple[str, str], object] = {}
+_made: dict[tuple[str, str], object] = {}
 
 
 def json_tokenizer(path: str):
     """The tokenizer of a ``.json`` file, once per process, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if ("json", path) not in _encoders:
+    if ("json", path) not in _made:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _encoders["json", path] = t
-    return _encoders["json", path]
+        _made["json", path] = t
+    return _made["json", path]
 
 
 def json_encoder(path: str) -> PartEncoder:
     """Encoder of a byte-level ``.json`` tokenizer whose pre-token pattern is the one above."""
-    if ("parts", path) not in _encoders:
+    if ("parts", path) not in _made:
         t = json_tokenizer(path)
         special = tuple(a.content for a in t.get_added_tokens_decoder().values())
-
-        def encode(parts: list[str]) -> list[np.ndarray]:
-            out: list[np.ndarray] = []
-            for i in range(0, len(parts), 500):
-                # one call for many parts; each is its own "word", never merged with the next
-                e = t.encode(parts[i: i + 500], is_pretokenized=True, add_special_tokens=False)
-                cuts = np.flatnonzero(np.diff(np.asarray(e.word_ids))) + 1
-                got = np.split(np.asarray(e.ids, "<u4"), cuts)
-                if len(got) != len(parts[i: i + 500]):
-                    got = [x.ids for x in t.encode_batch_fast(parts[i: i + 500], add_special_tokens=False)]
-                out += got
-            return out
-
-        _encoders["parts", path] = PartEncoder(encode, special)
-    return _encoders["parts", path]
+        plain = merge_table(path)
+        whole = t.encode
+
+        def encode(part: str) -> list[int]:
+            if plain is None or any(s in part for s in special):
+                return whole(part, add_special_tokens=False).ids
+            return plain(part)
+
+        _made["parts", path] = PartEncoder(encode, special)
+    return _made["parts", path]
+
+
+def merge_table(path: str) -> Callable[[str], list[int]] | None:
+    """The same ids from the merge table alone, for a short part without special strings: a quarter of the time.
+
+    Only for files that are nothing but byte-level BPE with the standard pattern, where every merge makes the token of the
+    next id; then merging by smallest id is merging by rank.  None for any other file.
+    """
+    import json
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if (model.get("type"), pre.get("type"), spec["normalizer"], pre.get("add_prefix_space"), pre.get("use_regex", True)) != (
+            "BPE", "ByteLevel", None, False, True) or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get("".join(m)) for m in merges]
+    added = {a["content"] for a in spec["added_tokens"]}
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(printable)]
+    as_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(as_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    if ids != list(range(256, 256 + len(ids))) or len(ranks) != 256 + len(ids):
+        return None
+    return tiktoken.Encoding("table", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
