@@ -57,9 +57,7 @@ class PartEncoder:
         if (text[0].isspace() or text[-1].isspace() or not all(pieces) or any(p in text for p in _SPACE_PAIRS)
                 or not text.isascii() and _WIDE_SPACE.search(text)):
             return b"".join(known[p[1:]] if p[0] == " " else alone(p) for p in _careful_parts(pieces))
-        first, pieces[0] = alone(pieces[0]), ""
-        known[""] = b""
-        return first + b"".join(map(known.__getitem__, pieces))
+        return alone(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:]))
 
     def _alone(self, part: str) -> bytes:
         return array("I", self.known.encode(part)).tobytes()
