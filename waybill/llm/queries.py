@@ -78,3 +78,34 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@_registered
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document towards labelled good text; as large a share is selected as is good among labels."""
+    from pyspark.sql import functions as F
+
+    from .resampling import select
+
+    docs = _documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
+    n, good = labels.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    target = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return select(docs, target, share=good / max(n, 1))
+
+
+@_registered
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    from .licenses import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
+def _add_oracles() -> None:
+    from .licenses import oracle
+
+    ORACLES["op9_license_scan"] = oracle()
+
+
+_add_oracles()

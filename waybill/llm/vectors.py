@@ -153,9 +153,13 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     # A list is split into salts of about block_rows vectors; its queries go to each of them.
     sizes = members.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("salts"))
     # at most max_lists rows
-    sizes = spark.createDataFrame([tuple(r) for r in sizes.collect()], "list int, salts int")
-    left = members.join(F.broadcast(sizes), "list").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    right = asked.join(F.broadcast(sizes), "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salts = {r[0]: r[1] for r in members.groupBy("list").agg(
+        F.ceil(F.count("*") / F.lit(block_rows)).cast("int")).collect()}
+    sizes = [(i, salts.get(i, 1)) for i in range(n_lists)]
+    left = members.join(F.broadcast(spark.createDataFrame(sizes, "list int, n int")), "list").select(
+        "id", "x", "list", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("salt"))
+    right = asked.join(F.broadcast(spark.createDataFrame(sizes, "list int, n int")), "list").select(
+        "id", "x", "list", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
 
     def block(key_: tuple, candidates: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
