@@ -109,3 +109,12 @@ def _add_oracles() -> None:
 
 
 _add_oracles()
+
+
+@_registered
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 100 bytes."""
+    from .repeats import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=100, digest_only=True).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
