@@ -74,6 +74,26 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, key:
     return picked.mapInArrow(run, schema)
 
 
+def append_figures(df: DataFrame, fn: Callable[[list], dict], schema: str, text: str = "text") -> DataFrame:
+    """Column ``row`` with all columns of ``df`` as they are, and the figures ``fn(texts)`` gives, without a shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                       F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text_bytes"))
+    target = StructType([source.schema["row"], *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = fn(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(arrow.field(0).type), *[pa.array(out[f.name], f.type) for f in list(arrow)[1:]]],
+                schema=arrow)
+
+    return source.mapInArrow(run, target)
+
+
 # --- words ----------------------------------------------------------------------------------------------------------
 
 #: Bytes that part words: space and the controls 0x09-0x0D.

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, map_texts, shingle_hashes, word_hashes
+from .common import Scratch, append_figures, map_texts, shingle_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_plain", "n_shouted",
@@ -155,24 +155,46 @@ def posterior(patterns: np.ndarray, table: dict[str, np.ndarray], share_good: fl
     return 1 / (1 + np.exp(-odds))
 
 
+def learn(figures_: DataFrame) -> tuple[float, dict[str, tuple[float, float]]]:
+    """Prior log-odds and, by rule, the log-odds of a bad and of a good vote, from the figures of all documents."""
+    known = rules()
+    names = [f"vote_{n}" for n in known]
+    rows = (
+        figures_.where(~base_failed()).select(*[v.alias(f"vote_{n}") for n, v in known.items()])
+        .groupBy(*names).count().collect())  # at most 3^len(rules)
+    patterns = np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(names))
+    model = fit(patterns, np.array([r[-1] for r in rows], float))
+    prior = float(np.log(model["share_good"] / (1 - model["share_good"])))
+    return prior, {n: (w[0], w[2]) for n, w in zip(known, weights(model["table"]).tolist(), strict=True)}
+
+
+def p_good(model: tuple[float, dict[str, tuple[float, float]]]) -> Column:
+    """Posterior probability of good text, over the figures; null where the base test fails."""
+    odds, known = F.lit(model[0]), rules()
+    for name, (bad, good) in model[1].items():
+        odds = odds + F.when(known[name] == -1, bad).when(known[name] == 1, good).otherwise(0.0)
+    return F.when(~base_failed(), 1 / (1 + F.exp(-odds)))
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_at: float = 0.5) -> DataFrame:
     """``key``, FIGURES, ``base_failed``, ``p_good`` and ``kept`` for every row.
 
     A null or empty text has zero figures and fails the base test (``p_good`` null, ``kept`` false).  Repeated rows and
     null keys are judged row by row.  An empty table gives an empty result.  Further columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    known = rules()
-    seen = scratch.put(figures(docs, key, text).withColumn("base_failed", base_failed()).select(
-        "*", *[v.alias(f"vote_{n}") for n, v in known.items()]), "figures")
-    names = [f"vote_{n}" for n in known]
-    rows = seen.where(~F.col("base_failed")).groupBy(*names).count().collect()  # at most 3^len(rules)
-    patterns = np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(names))
-    model = fit(patterns, np.array([r[-1] for r in rows], float))
-    odds = F.lit(float(np.log(model["share_good"] / (1 - model["share_good"]))))
-    for name, (bad, _, good) in zip(names, weights(model["table"]).tolist(), strict=True):
-        odds = odds + F.when(F.col(name) == -1, bad).when(F.col(name) == 1, good).otherwise(0.0)
-    return (
-        seen.withColumn("p_good", F.when(~F.col("base_failed"), 1 / (1 + F.exp(-odds))))
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("p_good"), F.lit(0.0)) >= keep_at))
-        .select(key, *FIGURES, "base_failed", "p_good", "kept"))
+    seen = Scratch(docs.sparkSession).put(figures(docs, key, text), "figures")
+    out = seen.withColumns({"base_failed": base_failed(), "p_good": p_good(learn(seen))})
+    return out.select(key, *FIGURES, "base_failed", "p_good",
+                      (F.coalesce(F.col("p_good"), F.lit(0.0)) >= keep_at).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", keep_at: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
+    def run(texts: list[bytes]) -> dict:
+        rows = [text_figures(t) for t in texts]
+        return {n: [r[n] for r in rows] for n in FIGURES}
+
+    schema = ", ".join(f"{n} bigint" for n in FIGURES)
+    figures_ = Scratch(docs.sparkSession).put(append_figures(docs.select(text), run, schema, text).select(*FIGURES), "figures")
+    judged = append_figures(docs, run, schema, text).where(F.coalesce(p_good(learn(figures_)), F.lit(0.0)) >= keep_at)
+    return judged.select("row.*")

@@ -118,3 +118,19 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=100, digest_only=True).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_registered
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from .jaccard import link_texts
+
+    return link_texts(_documents(spark, sf_dir), n=4, percent=85)
+
+
+@_registered
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over the documents."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

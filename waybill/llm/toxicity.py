@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, append_figures, map_texts
 
 #: White space, ASCII digits and punctuation part words.
 _PARTS = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
@@ -153,7 +153,7 @@ def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
     """Logistic curve through counts of ordinary (n0) and toxic (n1) texts at log-ratio ``x``, lightly regularised."""
     total = n0 + n1
     if not n0.sum() or not n1.sum():
-        return 0.0, 1.0
+        return -1e-9, 1.0
     w = np.array([np.log(n1.sum() / n0.sum()), 1.0])
     design = np.stack((np.ones_like(x), x), axis=1)
     for _ in range(100):
@@ -166,53 +166,89 @@ def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def score_texts(docs: DataFrame, model: Slots, key: str, text: str, margin: float) -> DataFrame:
-    """``key, n_tokens, ratio``: words of every row, and the log-likelihood ratio per word (0 for a text without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+def scorer(model, margin: float):
+    """A function from texts to their numbers of words and log-likelihood ratios per word; remembers words by worker."""
     known: dict[bytes, float] = {}
 
-    def run(keys: list, texts: list[bytes]) -> dict:
+    def run(texts: list[bytes]) -> tuple[list[int], list[float]]:
         rows = [words_of(t.decode("utf-8", "replace")) for t in texts]
         if len(known) > MEMORY_WORDS:
             known.clear()
         new = list({w for ws in rows for w in ws if w not in known})
         for i in range(0, len(new), 20_000):
-            scores = shared.value.word_scores(new[i: i + 20_000])
+            scores = model.value.word_scores(new[i: i + 20_000])
             scores[np.abs(scores) < margin] = 0.0
             known.update(zip(new[i: i + 20_000], scores.tolist(), strict=True))
-        return {key: keys, "n_tokens": [len(ws) for ws in rows],
-                "ratio": [sum(map(known.__getitem__, ws)) / max(len(ws), 1) for ws in rows]}
+        return [len(ws) for ws in rows], [sum(map(known.__getitem__, ws)) / max(len(ws), 1) for ws in rows]
 
-    return map_texts(docs, run, f"{key} {kind}, n_tokens bigint, ratio double", key, text)
+    return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-             order: int = 4, slots: int = 1 << 20, margin: float = 5.0, folds: int = 5) -> DataFrame:
-    """``key, n_tokens, ratio, held_out, score, predicted`` for every row of ``docs``.
+def score_texts(docs: DataFrame, model, key: str, text: str, margin: float) -> DataFrame:
+    """``key, n_tokens, ratio``: words of every row, and the log-likelihood ratio per word (0 for a text without words)."""
+    kind, score = docs.schema[key].dataType.simpleString(), scorer(model, margin)
 
-    Fold 0 is never learned from; fold 4 calibrates the score, the others give the counts.  Empty and null texts get the
-    score of a ratio of 0.  Rows with a null key are scored and count as held out.  Repeated rows are scored row by row;
-    labels with a null label are ignored, and of several labels of one key the largest counts.  Without labelled rows of
-    both classes the score is that of an uninformed curve.  Further columns of either table are ignored.
-    """
-    scratch = Scratch(docs.sparkSession)
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("label_key")).agg(
+    def run(keys: list, texts: list[bytes]) -> dict:
+        return {key: keys} | dict(zip(("n_tokens", "ratio"), score(texts), strict=True))
+
+    return map_texts(docs, run, f"{key} {kind}, n_tokens bigint, ratio double", key, text)
+
+
+def marked_rows(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``label_key, label``: one row for each labelled key; of several labels the largest counts."""
+    return labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(
         F.max(label).cast("int").alias("label"))
-    base = docs.select(F.col(key), F.col(text))
+
+
+def learn_model(docs: DataFrame, marked: DataFrame, key: str, text: str, order: int, slots: int, folds: int,
+                scratch: Scratch):
+    """Broadcast model from all labelled rows outside the first and last fold."""
     learning = marked.where(fold("label_key", folds).between(1, folds - 2))
-    texts = base.join(learning, F.col(key) == F.col("label_key")).select("label", F.col(text))
+    texts = docs.select(F.col(key), F.col(text)).join(learning, F.col(key) == F.col("label_key")).select("label", F.col(text))
     grams = scratch.put(gram_counts(texts, "label", order, text), "grams")
-    model = learn(grams, order, slots)
-    scored = scratch.put(score_texts(base, model, key, text, margin), "scored")
+    return docs.sparkSession.sparkContext.broadcast(learn(grams, order, slots))
+
+
+def fit_curve(scored: DataFrame, marked: DataFrame, key: str, folds: int) -> Column:
+    """Score over ``ratio``, fitted on the last fold: from at most 4,001 bins of the ratio."""
     step = 1e-3
     bins = (
         scored.join(marked.where(fold("label_key", folds) == folds - 1), F.col(key) == F.col("label_key"))
         .groupBy(F.round(F.least(F.greatest(F.col("ratio"), F.lit(-2.0)), F.lit(2.0)) / step).cast("int").alias("bin"))
-        .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-        .toPandas())  # at most 4001 rows
+        .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).toPandas())
     shift, slope = calibrate(bins["bin"].to_numpy(float) * step, bins["n0"].to_numpy(float), bins["n1"].to_numpy(float))
-    score = 1 / (1 + F.exp(-(F.lit(shift) + F.lit(slope) * F.col("ratio"))))
+    return 1 / (1 + F.exp(-(F.lit(shift) + F.lit(slope) * F.col("ratio"))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+             order: int = 4, slots: int = 1 << 20, margin: float = 5.0, folds: int = 5) -> DataFrame:
+    """``key, n_tokens, ratio, held_out, score, predicted`` for every row of ``docs``.
+
+    Fold 0 is never learned from; the last fold calibrates the score, the others give the counts.  Empty and null texts
+    get the score of a ratio of 0.  Rows with a null key are scored and count as held out.  Repeated rows are scored row
+    by row; null labels are ignored, and of several labels of one key the largest counts.  Without labelled rows of both
+    classes the score is 0.5 at a ratio of 0.  Further columns of either table are ignored; an empty table gives an empty
+    result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marked = marked_rows(labels, key, label)
+    model = learn_model(docs, marked, key, text, order, slots, folds, scratch)
+    scored = scratch.put(score_texts(docs, model, key, text, margin), "scored")
+    score = fit_curve(scored, marked, key, folds)
     return scored.select(
         F.col(key), "n_tokens", "ratio", F.coalesce(fold(key, folds) == 0, F.lit(True)).alias("held_out"),
         score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+                  order: int = 4, slots: int = 1 << 20, margin: float = 5.0, folds: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` does not predict to be toxic."""
+    scratch = Scratch(docs.sparkSession)
+    marked = marked_rows(labels, key, label)
+    model = learn_model(docs, marked, key, text, order, slots, folds, scratch)
+    score = scorer(model, margin)
+    scored = append_figures(docs, lambda texts: dict(zip(("n_tokens", "ratio"), score(texts), strict=True)),
+                            "n_tokens bigint, ratio double", text)
+    curve_rows = docs.join(marked.where(fold("label_key", folds) == folds - 1), F.col(key) == F.col("label_key"), "left_semi")
+    curve = fit_curve(score_texts(curve_rows, model, key, text, margin), marked, key, folds)
+    return scored.where(curve < 0.5).select("row.*")
