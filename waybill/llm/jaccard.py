@@ -5,15 +5,15 @@ connect.  Every link between different texts counts, but not every pair has to b
 
 1. Texts with equal sets are one *set*; only its smallest id goes on.
 2. Tokens are ordered once for all sets: tokens frequent in a sample last, then longest first, then by hash.  Any order is
-   right; this one puts tokens that unrelated texts share by chance at the end.  Sets that link share at least ``MATCHES``
-   tokens among their first n - ceil(percent n / 100) + MATCHES.  Only these are indexed, and only tokens of two sets or
-   more are kept.
+   right; this one puts tokens that unrelated texts share by chance at the end.  Different sets that link share at least
+   ``matches`` tokens among their first n - ceil(percent n / 100) + matches, for matches up to percent / (100 - percent).
+   Only these are indexed, and only tokens of two sets or more are kept.
 3. *Groups.*  A token's leader is its smallest set.  A set joins the family of the leader it shares most tokens with, and
    is compared with it; what links to its leader is done within its family.  A family is cut into groups of like size
    with a bounded number of tokens.
 4. *Token-group matrix.*  For each group the union of its indexed tokens is stored.  A set that is not linked to its leader
    asks all groups of its family in its size range; any set asks groups of other families in its size range whose union
-   holds at least MATCHES of its indexed tokens.  A group is opened only if the union of its full sets holds percent of the
+   holds at least ``matches`` of its indexed tokens.  A group is opened only if the union of its full sets holds percent of the
    asking set; then exact overlaps with all members are counted.
 5. Links are joined to classes by alternating stars.
 
@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, map_texts, shingle_hashes, word_hashes, word_spans
 
-MATCHES = 4
+#: Most shared indexed tokens asked for.
+MOST_MATCHES = 4
 #: Ids from here on stand for rows with a null key.
 NULL_IDS = 1 << 62
 GROUP_SETS, GROUP_TOKENS = 256, 1 << 20
@@ -54,24 +55,35 @@ def set_hash(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def matches(percent: int) -> int:
+    """How many indexed tokens two different sets that link share at the least."""
+    return min(MOST_MATCHES, least_overlap(percent))
+
+
+def least_overlap(percent: int) -> int:
+    """Fewest common tokens of two different sets that link: c / (c + 1) is the most that c can reach."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
+
+
 def indexed_tokens(data: bytes, n: int, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All tokens (sorted) and those to be indexed, in the common order."""
     starts, ends = word_spans(np.frombuffer(data, np.uint8))
     tokens = shingle_hashes(word_hashes(data, lower=True), n)
-    if len(starts) <= n:
-        return np.unique(tokens), tokens[:0]
+    if not len(starts):
+        return tokens, tokens
     sizes = np.concatenate(([0], np.cumsum(ends - starts)))
+    n = min(n, len(starts))
     length = sizes[n:] - sizes[:-n]
     unique, first = np.unique(tokens, return_index=True)
     m = len(unique)
-    if m < 6:  # sets this small only link to equal ones
+    if m < least_overlap(percent):  # sets this small only link to equal ones
         return unique, unique[:0]
     late = np.zeros(m, bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, unique), len(frequent) - 1)
         late = frequent[at] == unique
     order = np.lexsort((unique, -length[first], late))
-    keep = m + (-percent * m // 100) + MATCHES
+    keep = m + (-percent * m // 100) + matches(percent)
     return unique, unique[order[: min(keep, m)]]
 
 
@@ -274,7 +286,7 @@ def classes_by_id(base: DataFrame, n: int, percent: int, sample_rows: int = 4000
 
     # Families: the leader a set shares most tokens with; sets without one are families of their own.
     votes = lists.where("set_id <> leader").groupBy("set_id", "leader").agg(F.count("*").alias("c")).where(
-        F.col("c") >= MATCHES)
+        F.col("c") >= matches(percent))
     joined = votes.groupBy("set_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
     sizes = lists.groupBy("set_id").agg(F.first("n").alias("n"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.05)))).cast("int").alias("band")
@@ -300,7 +312,7 @@ def classes_by_id(base: DataFrame, n: int, percent: int, sample_rows: int = 4000
         asking.join(matrix, "token")
         .where((F.col("qf") != F.col("family")) & (F.abs(F.col("qband") - F.col("band")) <= reach)
                & (F.struct("qs", "qf") < F.struct("in_family", "family")))
-        .groupBy("set_id", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= MATCHES).select("set_id", "grp"))
+        .groupBy("set_id", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= matches(percent)).select("set_id", "grp"))
     other = scratch.put(other, "other")
 
     # Texts that are needed at all, once, by set.

@@ -286,11 +286,13 @@ def _expand(length: int, gram: int, step: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = np.frombuffer(_unpack(r["body"]), np.uint8)
-                todo = starts(np.array([b["at"] for b in r["blocks"]], np.int64),
-                              np.array([b["info"] for b in r["blocks"]], np.int64),
-                              np.array([b["want"] for b in r["blocks"]], np.int64))
+            blocks = batch.column("blocks")
+            ends, values = blocks.offsets.to_numpy(), blocks.values
+            at_, info_, want_ = (values.field(n).to_numpy(zero_copy_only=False) for n in ("at", "info", "want"))
+            for i, (id_, twin, body) in enumerate(zip(
+                    *(batch.column(n).to_pylist() for n in ("id", "twin", "body")), strict=True)):
+                raw, part = np.frombuffer(_unpack(body), np.uint8), slice(ends[i], ends[i + 1])
+                todo = starts(at_[part], info_[part], want_[part])
                 for a, b in zip(cut := np.append(np.searchsorted(todo, np.arange(0, len(raw), step)), len(todo)), cut[1:],
                                 strict=False):
                     if a == b:
@@ -303,7 +305,7 @@ def _expand(length: int, gram: int, step: int = 1 << 20):
                         word = word << np.uint64(8) | piece[at - base + k].astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_signed(word ^ np.uint64(1 << 63))), pa.array(_signed(mix(rolling(piece, length))[at - base])),
-                         pa.array(np.full(len(at), r["id"], np.int64)), pa.array(at + r["twin"] * TWIN)],
+                         pa.array(np.full(len(at), id_, np.int64)), pa.array(at + twin * TWIN)],
                         names=["lead", "rest", "id", "at"])
 
     return run
@@ -361,7 +363,8 @@ def _compressed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def find_repeats(placed: DataFrame, text: str, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """``id, twin, spans``: for every text with repeats, where removed strings start and how many follow one another."""
+    """``id, twin, spans``: for every text with repeats, where removed strings start (high 40 bits of a number) and how
+    many follow one another (low 24 bits)."""
     spark = placed.sparkSession
     texts = placed.select("id", "twin", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     if "text_hash" in placed.columns or placed.select("twin").where("twin > 0").limit(1).count():
@@ -393,14 +396,12 @@ def find_repeats(placed: DataFrame, text: str, length: int, gram: int, scratch:
         .unionByName(compared.where("edge = 0").select("id", "at", one.alias("n")))
         .unionByName(spark.createDataFrame(again, "id bigint, at bigint, n bigint")))
     return runs.groupBy("id", twin).agg(
-        F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(TWIN - 1)).alias("at"), "n")).alias("spans"))
+        F.collect_list(F.shiftleft("at", 24).bitwiseOR(F.col("n"))).alias("spans"))
 
 
 def removed_mask(size: int, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """True for the bytes covered by strings that start at ``at`` .. ``at + n - 1``."""
-    steps = np.zeros(size + 1, np.int64)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + n - 1 + length, -1)
+    steps = np.bincount(at, minlength=size + 1) - np.bincount(at + n - 1 + length, minlength=size + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -415,8 +416,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     like a result are replaced; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    own = ["id", "twin", "body", "spans", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    rest = [c for c in docs.columns if c != text and (c == key or c.lower() not in own)]
+    results_ = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    rest = [c for c in docs.columns if c != text and (c == key or c.lower() not in results_)]
     narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("columns"), F.col(f"`{key}`").alias("_key"),
                          F.col(f"`{text}`").alias("_text"))
     placed = with_places(narrow, "_key", "_text").drop("_key")
@@ -434,11 +435,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in list(arrow)[1:]}
-            for body, found in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            spans = batch.column("spans")
+            ends, found = spans.offsets.to_numpy(), spans.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, body in enumerate(batch.column("body").to_pylist()):
                 data = _unpack(body)
                 kept, removed, runs = data, 0, 0
-                if found:
-                    gone = removed_mask(len(data), np.array([s["at"] for s in found]), np.array([s["n"] for s in found]), length)
+                if ends[i + 1] > ends[i]:
+                    own_ = found[ends[i]: ends[i + 1]]
+                    gone = removed_mask(len(data), (own_ >> np.uint64(24)).astype(np.int64),
+                                        (own_ & np.uint64((1 << 24) - 1)).astype(np.int64), length)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 values = (len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
