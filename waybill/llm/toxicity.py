@@ -204,7 +204,9 @@ def learn_model(docs: DataFrame, marked: DataFrame, key: str, text: str, order:
                 scratch: Scratch):
     """Broadcast model from all labelled rows outside the first and last fold."""
     learning = marked.where(fold("label_key", folds).between(1, folds - 2))
-    texts = docs.select(F.col(key), F.col(text)).join(learning, F.col(key) == F.col("label_key")).select("label", F.col(text))
+    # One way of joining at every size: what is shuffled follows the input.
+    texts = docs.select(F.col(key), F.col(text)).join(
+        learning.hint("merge"), F.col(key) == F.col("label_key")).select("label", F.col(text))
     grams = scratch.put(gram_counts(texts, "label", order, text), "grams")
     return docs.sparkSession.sparkContext.broadcast(learn(grams, order, slots))
 
@@ -249,6 +251,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     score = scorer(model, margin)
     scored = append_figures(docs, lambda texts: dict(zip(("n_tokens", "ratio"), score(texts), strict=True)),
                             "n_tokens bigint, ratio double", text)
-    curve_rows = docs.join(marked.where(fold("label_key", folds) == folds - 1), F.col(key) == F.col("label_key"), "left_semi")
+    curve_rows = docs.select(F.col(key), F.col(text)).join(
+        marked.where(fold("label_key", folds) == folds - 1).hint("merge"), F.col(key) == F.col("label_key"), "left_semi")
     curve = fit_curve(score_texts(curve_rows, model, key, text, margin), marked, key, folds)
     return scored.where(curve < 0.5).select("row.*")
