@@ -120,7 +120,8 @@ def join_role_dims(v):
     buyer = v.account.select(F.col("userid").alias("buyer_id"),
                              F.col("username").alias("buyer_user"))
     # one shop may hold a large part of the orders: its key is spread
-    return lookups.spread_join(v.fx_orders, seller, {"shop_id": "shopid"}, ["seller_user"]).join(
+    return lookups.spread_join(
+        v.fx_orders, seller, {"shop_id": "shopid"}, ["seller_user"], ["order_id"]).join(
         buyer, "buyer_id", "left")
 
 

@@ -180,10 +180,9 @@ def proj_nullif(v):
 
 @query("proj_cast", "start_state:s end_state:s start_city:s end_city:s days:f day_text:s", """
     SELECT start_state, end_state, start_city, end_city, CAST(best AS DOUBLE) AS days,
-      CAST(ingestion_timestamp AS VARCHAR) AS day_text FROM fx_sla
-    WHERE ingestion_timestamp = 2""")
+      CAST(ingestion_timestamp AS VARCHAR) AS day_text FROM fx_sla""")
 def proj_cast(v):
-    return v.sla.where(F.col("ingestion_timestamp") == 2).select(
+    return v.sla.select(
         "start_state", "end_state", "start_city", "end_city",
         F.col("best").cast("double").alias("days"),
         F.col("ingestion_timestamp").cast("string").alias("day_text"))

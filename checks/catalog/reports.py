@@ -270,8 +270,7 @@ def rep_pending(v):
 
 @query("rep_sequence_anomalies", CASE, """
     SELECT * FROM ox_case WHERE pickup_failed_time2 > pickup_done_time2
-      AND logistics_status_id = 2 AND fulfilment_channel_id IN (50015, 50016, 50021, 50011)
-    ORDER BY lm_tracking_number, order_id, consignment_no LIMIT 100""")
+      AND logistics_status_id = 2 AND fulfilment_channel_id IN (50015, 50016, 50021, 50011)""")
 def rep_sequence_anomalies(v):
     return cases.sequence_anomalies(case_facts(v), [50015, 50016, 50021, 50011])
 
@@ -412,11 +411,12 @@ def rep_fee_recon(v):
     return restrict_to_ids(fee_rows(v), "lm_tracking_no", v.ids)
 
 
-@query("rep_pickup_volume", "month:i fulfilment_shipping_carrier:s nb_order:i", f"""
-    SELECT month({day(ts('p.scheduled_pickup_timestamp - 3600'))}) AS month,
+@query("rep_pickup_volume", "month_start:d month:i fulfilment_shipping_carrier:s nb_order:i", f"""
+    SELECT date_trunc('month', {day(ts('p.scheduled_pickup_timestamp - 3600'))}) AS month_start,
+      month({day(ts('p.scheduled_pickup_timestamp - 3600'))}) AS month,
       o.fulfilment_shipping_carrier, count(DISTINCT o.order_sn) AS nb_order
     FROM fx_orders o LEFT JOIN fx_parcel p ON p.order_id = o.order_id
     WHERE {day(ts('p.scheduled_pickup_timestamp - 3600'))} BETWEEN DATE '2024-01-01'
-      AND DATE '2024-03-31' GROUP BY 1, 2""")
+      AND DATE '2024-03-31' GROUP BY 1, 2, 3""")
 def rep_pickup_volume(v):
     return volume.pickup_volume(v.fx_orders, v.parcel, "2024-01-01", "2024-03-31")

@@ -172,18 +172,16 @@ def fn_round_floor(v):
 
 @query("fn_cast_round", "start_state:s end_state:s start_city:s end_city:s days:i", """
     SELECT start_state, end_state, start_city, end_city,
-      CAST(floor(CAST(best AS DOUBLE) + 0.5) AS BIGINT) AS days
-    FROM fx_sla WHERE ingestion_timestamp = 1""")
+      CAST(floor(CAST(best AS DOUBLE) + 0.5) AS BIGINT) AS days FROM fx_sla""")
 def fn_cast_round(v):
-    return v.sla.where(F.col("ingestion_timestamp") == 1).select(
+    return v.sla.select(
         "start_state", "end_state", "start_city", "end_city",
         t.round_half_up(F.col("best").cast("double")).alias("days"))
 
 
 @query("fn_ci_equal", "state:s orders:i", """
     SELECT r.state, count(*) AS orders FROM fx_orders o JOIN fx_regions r
-    ON lower(o.buyer_state) = lower(r.state) AND r.ingestion_timestamp = 2 GROUP BY 1""")
+    ON lower(o.buyer_state) = lower(r.state) GROUP BY 1""")
 def fn_ci_equal(v):
-    r = v.regions.where(F.col("ingestion_timestamp") == 2).select("state")
-    return v.fx_orders.join(r, F.lower("buyer_state") == F.lower("state")).groupBy("state").agg(
+    return v.fx_orders.join(v.regions.select("state"), F.lower("buyer_state") == F.lower("state")).groupBy("state").agg(
         F.count(F.lit(1)).alias("orders"))

@@ -76,7 +76,7 @@ def test_hot_parcel_attempts(hot_log):
 def test_hot_key_lookups_agree(spark, hot_log):
     dim = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = hot_log.join(dim, hot_log.log_id == dim.k, "left").agg(F.sum("v"), F.count("*")).head()
-    spread = lookups.spread_join(hot_log, dim, {"log_id": "k"}, ["v"], salts=8)
+    spread = lookups.spread_join(hot_log, dim, {"log_id": "k"}, ["v"], hot_log.columns, salts=8)
     assert tuple(spread.agg(F.sum("v"), F.count("*")).head()) == tuple(plain)
     assert set(spread.columns) == set(hot_log.columns) | {"v"}
 

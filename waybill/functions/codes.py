@@ -228,44 +228,6 @@ FAILED_OR_LOST = ("CANCEL_REASON_LOGISTICS_DELIVERY_FAILED", "CANCEL_REASON_LOST
 FEE_FREE_CHANNELS = (51000, 50020, 50021)
 FEE_RATES = ((None, 0.022), ("2022-04-01", 0.025))  # (valid from, rate)
 
-# --- fixed values: campaigns (first day, last day, label) ------------------
-DELIVERY_CAMPAIGNS = (
-    ("2022-09-09", "2022-09-11", "9/9/22"),
-    ("2022-10-10", "2022-10-12", "10/10/22"),
-    ("2022-11-11", "2022-11-13", "11/11/22"),
-    ("2022-12-12", "2022-12-14", "12/12/22"),
-    ("2023-02-02", "2023-02-04", "2/2/23"),
-    ("2023-03-03", "2023-03-05", "3/3/23"),
-)
-PICKUP_CAMPAIGNS = (
-    ("2023-02-02", "2023-02-04", "2/2"),
-    ("2023-02-15", "2023-02-17", "15/2"),
-    ("2023-03-03", "2023-03-05", "3/3"),
-)
-
-# --- fixed values: event days with one day of grace ------------------------
-DOUBLE_DAYS = (
-    "2024-10-10", "2024-10-11", "2024-10-12", "2024-11-11", "2024-11-12", "2024-11-13",
-    "2024-12-12", "2024-12-13", "2024-12-14", "2025-01-15", "2025-01-16", "2025-01-17",
-    "2025-02-02", "2025-02-03", "2025-02-04", "2025-03-03", "2025-03-04", "2025-03-05",
-    "2025-04-04", "2025-04-05", "2025-04-06", "2025-05-05", "2025-05-06", "2025-05-07",
-    "2025-06-06", "2025-06-07", "2025-06-08", "2025-07-07", "2025-07-08", "2025-07-09",
-    "2025-08-08", "2025-08-09", "2025-08-10", "2025-09-09", "2025-09-10", "2025-09-11",
-    "2025-10-10", "2025-10-11", "2025-10-12", "2025-11-11", "2025-11-12", "2025-11-13",
-    "2025-12-12", "2025-12-13", "2025-12-14",
-)
-PUBLIC_HOLIDAYS = (
-    "2025-01-01", "2025-01-25", "2025-01-26", "2025-01-27", "2025-01-28", "2025-01-29",
-    "2025-01-30", "2025-01-31", "2025-02-01", "2025-02-02", "2025-04-07", "2025-04-30",
-    "2025-05-01", "2025-09-01", "2025-09-02",
-)
-EVENT_DAYS = DOUBLE_DAYS + PUBLIC_HOLIDAYS
-LATE_YEAR_DOUBLE_DAYS = (
-    "2025-10-10", "2025-10-11", "2025-10-12", "2025-11-11", "2025-11-12", "2025-11-13",
-    "2025-12-12", "2025-12-13", "2025-12-14",
-)
-EVENT_DAYS_MONTHLY = PUBLIC_HOLIDAYS + LATE_YEAR_DOUBLE_DAYS
-
 # --- fixed values: totals row labels ----------------------------------------
 TOTAL_LABEL = "Nationwide Total"
 WEEKLY_TOTAL_LABEL = "XXX_Total"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 # The logs keep epoch seconds one hour ahead of the report clock.
@@ -32,6 +35,15 @@ def from_epoch(seconds, shift: int = 0) -> Column:
     return F.timestamp_seconds(_c(seconds) + F.lit(shift))
 
 
+def epoch_between(seconds, first: str, last: str, shift: int = 0) -> Column:
+    """True where ``from_epoch(seconds, shift)`` falls on a day from ``first`` to ``last``.
+
+    Stated on the stored column with constants, so that a scan can skip row groups.
+    """
+    start, end = (calendar.timegm(dt.date.fromisoformat(str(d)).timetuple()) for d in (first, last))
+    return (_c(seconds) >= start - shift) & (_c(seconds) < end + 86_400 - shift)
+
+
 def event_time(actual, ctime=None, shift: int = REPORT_SHIFT) -> Column:
     return from_epoch(event_epoch(actual, ctime), shift)
 

@@ -94,7 +94,7 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
     # One shop may hold a large part of all orders, so its key is spread.
     rows = (
         spread_join(head.join(shares, "order_id", "left"), sellers, {"shop_id": "shop_id"},
-                    ["seller_userid", "seller_user_name"])
+                    ["seller_userid", "seller_user_name"], ["order_id"])
         .join(item_fees(items), "order_id", "left")
         .join(buyers, "buyer_id", "left")
         .join(escrow.distinct(), "order_id", "left")

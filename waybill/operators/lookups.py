@@ -48,15 +48,17 @@ def role_lookup(fact: DataFrame, dim: DataFrame, key: str, value: str,
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: Mapping[str, str],
-                carry: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
+                carry: Sequence[str], grain: Sequence[str], how: str = "left",
+                salts: int = 16) -> DataFrame:
     """Equality join that cuts every key of ``big`` into ``salts`` parts.
 
     ``small`` (one row per key, too large to broadcast) is repeated once per
     salt, so a key holding a third of ``big`` is handled by ``salts`` tasks.
-    The salt comes from the whole row, so a retried task repeats it exactly.
+    The salt comes from ``grain``, columns that tell the rows of ``big`` apart, so a
+    retried task repeats it exactly.
     """
     keys = [f"__k{i}" for i in range(len(on))]
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*grain), F.lit(salts)).cast("int"))
     side = small.select(
         *[F.col(d).alias(k) for k, d in zip(keys, on.values())],
         *carry,

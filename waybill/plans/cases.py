@@ -98,16 +98,12 @@ def open_ready_orders(base: DataFrame, cancel_day: str, carriers: Sequence[str],
              "fulfilment_shipping_carrier").distinct()
 
 
-def sequence_anomalies(base: DataFrame, channels=(codes.EXPRESS_CHANNEL, codes.ECONOMY_CHANNEL),
-                       limit: int | None = 100) -> DataFrame:
-    """Parcels failed after pickup that are still 'picked up'; the sheet shows
-    the first ``limit`` by tracking number and order."""
-    found = mst.picked_then_failed(base).where(
+def sequence_anomalies(base: DataFrame,
+                       channels=(codes.EXPRESS_CHANNEL, codes.ECONOMY_CHANNEL)) -> DataFrame:
+    """All parcels failed after pickup that are still 'picked up'."""
+    return mst.picked_then_failed(base).where(
         F.col("fulfilment_channel_id").isin(*channels) & (F.col("logistics_status_id") == 2)
     ).select(*CASE_SHEET).distinct()
-    if limit is None:
-        return found
-    return found.orderBy("lm_tracking_number", "order_id", "consignment_no").limit(limit)
 
 
 def pending_parcels(base: DataFrame, state: str, city: str,

@@ -73,7 +73,7 @@ def _due_between(df: DataFrame, first: str, last: str) -> DataFrame:
         F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
-def campaign_delivery(base: DataFrame, windows=codes.DELIVERY_CAMPAIGNS) -> DataFrame:
+def campaign_delivery(base: DataFrame, windows) -> DataFrame:
     """Delivery KPIs of campaign due dates by carrier, city and route."""
     scoped = base.where(classify.in_campaign("expected_delivery", windows))
     return dlv.delivery_kpis(scoped, [

@@ -43,9 +43,11 @@ def penalty_base(orders: DataFrame, logistic: DataFrame, requests: DataFrame, ti
         times.join(requests.select("log_id", "pickup_time"), "log_id", "left")
         .join(request, "log_id", "right")
         .withColumn("forderid", F.col("forderid").cast("string"))
+        # All that hangs on the parcel is joined before the orders, so that the many orders
+        # without a parcel never meet in one null key.
+        .join(unit, "forderid", "left").join(depot, "__w", "left")
         .join(head, "order_sn", "right")
-        .join(multi, "order_id", "left").join(unit, "forderid", "left")
-        .join(depot, "__w", "left")
+        .join(multi, "order_id", "left")
     )
     is_multi = F.col("nb_parcels").isNotNull()
     origin = {

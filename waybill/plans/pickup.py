@@ -45,7 +45,7 @@ def _one_per_parcel(facts: DataFrame) -> DataFrame:
         "sls_status").distinct()
 
 
-def campaign_pickup(facts: DataFrame, windows=codes.PICKUP_CAMPAIGNS) -> DataFrame:
+def campaign_pickup(facts: DataFrame, windows) -> DataFrame:
     """Pickup KPIs of campaign schedules per carrier."""
     scoped = _one_per_parcel(facts).where(
         (F.col("shipment_type1") == "pickup") & classify.in_campaign("scheduled_date1", windows))
