@@ -90,7 +90,9 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
     n, good = labels.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    target = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    # One way of joining at every size: what is shuffled follows the input.
+    target = docs.select("doc_id", "text").join(
+        labels.where("quality = 1").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     return select(docs, target, share=good / max(n, 1))
 
 
