@@ -162,3 +162,22 @@ def test_classes_of_odd_rows(spark, odd, odd_rows):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6] + ([7] if got[7] == 7 else [])
     assert ids.count(None) == 2
     assert jaccard.link_texts(odd.where("false")).count() == 0
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        members, asked = np.arange(10, 22), [int(a) for a in rng.choice(np.arange(10, 40), 12, replace=False)]
+        hits = [(i, np.flatnonzero(rng.random(12) < 0.15)) for i in range(12)]
+
+        def classes(edges):
+            parent = {v: v for v in [*members.tolist(), *asked]}
+            for a, b in edges:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {v: low if p == high else p for v, p in parent.items()}
+            return parent
+
+        every = [(asked[i], int(members[m])) for i, hit in hits for m in hit if asked[i] != members[m]]
+        some = list(jaccard.forest(members, asked, iter(hits)))
+        assert set(some) <= set(every) and classes(some) == classes(every)
+        assert len(some) < len(members) + len(asked)

@@ -14,7 +14,8 @@ connect.  Every link between different texts counts, but not every pair has to b
 4. *Token-group matrix.*  For each group the union of its indexed tokens is stored.  A set that is not linked to its leader
    asks all groups of its family in its size range; any set asks groups of other families in its size range whose union
    holds at least ``matches`` of its indexed tokens.  A group is opened only if the union of its full sets holds percent of the
-   asking set; then exact overlaps with all members are counted.
+   asking set; then exact overlaps with all members are counted.  A block of opened group and asking sets gives out a spanning
+   forest of its links, which connects the same and has fewer rows than the block has sets.
 5. Links are joined to classes by alternating stars.
 
 Tokens are 64-bit hashes of n-grams.
@@ -188,6 +189,25 @@ def open_group(members: list[np.ndarray], queries: Iterator[np.ndarray], percent
         yield i, np.flatnonzero(links(common, sizes, len(q), percent))
 
 
+def forest(members: np.ndarray, asked: list[int], hits: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Of the links between asking sets and members, as many as connect the same: fewer than there are sets in the block.
+
+    ``hits`` gives the number of an asking set and the places of the members it links to.
+    """
+    tree = np.arange(len(members))
+    place = {m: i for i, m in enumerate(members.tolist())}
+    for i, hit in hits:
+        own = place.get(asked[i])
+        trees, first = np.unique(tree[hit], return_index=True)
+        for t, at in zip(trees.tolist(), hit[first].tolist(), strict=True):
+            if own is None or t != tree[own]:
+                yield asked[i], int(members[at])
+        if own is not None:
+            trees = np.union1d(trees, tree[own])
+        if len(trees) > 1:
+            tree[np.isin(tree, trees)] = trees[0]
+
+
 def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node that each node of ``edges (a, b)`` reaches, by alternating stars."""
     def both(e: DataFrame) -> DataFrame:
@@ -372,11 +392,10 @@ def classes_by_id(base: DataFrame, n: int, percent: int, sample_rows: int = 4000
             ids = members["member"].to_numpy(np.int64)
             asked = queries["asker"].tolist()
             sets = [token_set(_text(b), n) for b in members["body"]]
-            for i, hit in open_group(sets, (token_set(_text(b), n) for b in queries["body2"]), percent):
-                for m in ids[hit].tolist():
-                    if m != asked[i]:
-                        out["a"].append(asked[i])
-                        out["b"].append(m)
+            hits = open_group(sets, (token_set(_text(b), n) for b in queries["body2"]), percent)
+            for a, b in forest(ids, asked, hits):
+                out["a"].append(a)
+                out["b"].append(b)
         return pd.DataFrame(out, dtype="int64")
 
     opened = scratch.put(left.groupBy("grp", "salt").cogroup(right.groupBy("grp2", "salt2")).applyInPandas(
