@@ -104,15 +104,6 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
-def _add_oracles() -> None:
-    from .licenses import oracle
-
-    ORACLES["op9_license_scan"] = oracle()
-
-
-_add_oracles()
-
-
 @_registered
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated strings of 100 bytes."""
@@ -130,9 +121,52 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_texts(_documents(spark, sf_dir), n=4, percent=85)
 
 
+@_registered
+def op11_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles."""
+    from .langid import predict_languages
+
+    return predict_languages(_documents(spark, sf_dir))
+
+
+@_registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, rebuilt on the heads of others."""
+    from .trie import branched, ordered_turns, prefix_trie
+
+    bounded_batches(spark)
+    return prefix_trie(branched(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@_registered
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row carries the label after its own."""
+    from pyspark.sql import functions as F
+
+    from .negatives import mine
+
+    bounded_batches(spark)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 @_registered
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over the documents."""
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
+
+
+def _add_oracles() -> None:
+    from . import oracles
+    from .licenses import oracle
+
+    ORACLES["op9_license_scan"] = oracle()
+    ORACLES["op11_language_profiles"] = oracles.LANGUAGES
+    ORACLES["op12_prefix_trie"] = oracles.PREFIX_TRIE
+    ORACLES["op13_hard_negatives"] = oracles.HARD_NEGATIVES
+
+
+_add_oracles()
