@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bounds of one Arrow batch handed to Python; a single longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +42,13 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        # Shuffle files of the finished job are of no more use; Spark removes them once the driver collects its garbage.
-        self.spark.sparkContext._jvm.System.gc()
+        # Nothing reads the shuffle files of this write again, so they go when it ends.
+        before = self.spark.conf.get(_FREE_SHUFFLES)
+        self.spark.conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
