@@ -123,3 +123,35 @@ def test_empty_tables(spark):
     assert packing.pack_documents(empty, JSON).count() == 0
     assert tokencount.count_tokens(empty, JSON).count() == 0
     assert bpecodec.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pieces_that_never_share_a_bin_leave_in_the_first_round(spark):
+    """No group grows: nothing fits beside a piece of over half a sequence, so no round follows."""
+    pieces = spark.range(3000).selectExpr(
+        "id AS doc_id", "0 AS piece", "0L AS start", "1100L AS length", "0L AS ids_crc32")
+    rows = packing.pack(pieces, 2048, group_rows=200, fan_in=2, most_rows=300).collect()
+    assert len({r.sequence_id for r in rows}) == 3000 and {r.sequence_id >> 56 for r in rows} == {0}
+
+
+def test_bound_of_a_group_ends_the_tree(spark):
+    pieces = spark.range(4000).selectExpr(
+        "id AS doc_id", "0 AS piece", "0L AS start", "CASE WHEN id % 400 = 0 THEN 900L ELSE 1100L END AS length",
+        "0L AS ids_crc32")
+    rows = packing.pack(pieces, 2048, group_rows=400, fan_in=8, most_rows=1000).collect()
+    assert len(rows) == 4000 and {r.sequence_id >> 56 for r in rows} <= {0, 1}
+    fills = {}
+    for r in rows:
+        fills.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for members in fills.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_many_tiny_pieces_share_a_sequence(spark):
+    pieces = spark.range(50_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "0L AS ids_crc32")
+    rows = packing.pack(pieces, 2048, group_rows=10_000).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(places) == 50_000 and len({s for s, _ in places}) == -(-50_000 // 2048)

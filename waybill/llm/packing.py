@@ -1,13 +1,16 @@
 """Best-fit packing by hierarchical residual packing.
 
 Documents become token pieces; pieces are packed by best fit, longest first, inside bounded groups.  Bins that are nearly
-full leave as sequences.  Underfull bins are the items of the next round, in fewer, merged groups, and so on up the tree
-to one group, which by then only holds what was left over below.
+full leave as sequences, and so do those into which not even the smallest bin left anywhere would fit.  Underfull bins are
+the items of the next round, in fewer, merged groups, and so on up the tree, as long as a merged group stays within a
+bound.  Groups are dealt by hash, so each holds the same mixture; where the bound ends the tree early, a group of that size
+leaves a few underfull bins more than a single one would.
 """
 
 from __future__ import annotations
 
 import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, map_texts
 from .vocab import json_encoder
 
-MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
+MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 
 
 def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, key: str = "doc_id",
@@ -68,29 +71,33 @@ def best_fit(levels: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def _pack_group(size: int, number: int, leave_at: float, last: bool):
-    """The function that packs one group of round ``number``; bins of at least ``leave_at`` tokens are done."""
+def _pack_group(size: int, number: int):
+    """The function that packs one group of round ``number``; members get their place in the new bin."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place", kind="stable")
         levels = frame["level"].to_numpy(np.int64)
         made = best_fit(levels, size)
         members: list[list] = [[] for _ in range(int(made.max()) + 1)]
-        for b, m in zip(made.tolist(), frame["members"], strict=True):
+        level = [0] * len(members)
+        for b, own, m in zip(made.tolist(), levels.tolist(), frame["members"], strict=True):
+            for x in m:
+                x["offset"] += level[b]
             members[b].extend(m)
-        level = np.bincount(made, levels).astype(np.int64)
+            level[b] += own
         ids = (number << 56) + (int(frame["bucket"].iloc[0]) << 28) + np.arange(len(level))
-        return pd.DataFrame({"level": level, "members": members, "place": ids, "done": last | (level >= leave_at),
-                             "sequence_id": ids})
+        return pd.DataFrame({"level": level, "members": members, "place": ids})
 
     return run
 
 
-def pack(pieces: DataFrame, size: int, group_rows: int = 10_000, fan_in: int = 8, nearly_full: float = 0.998) -> DataFrame:
+def pack(pieces: DataFrame, size: int, group_rows: int = 10_000, fan_in: int = 8, nearly_full: float = 0.998,
+         most_rows: int = 40_000) -> DataFrame:
     """Sequences of at most ``size`` tokens: the pieces with ``sequence_id`` and ``offset``.
 
-    ``group_rows`` bounds what one task packs at first; each further round merges ``fan_in`` groups.  A bin whose fill is
-    at least ``nearly_full`` leaves at once.  Every piece comes out exactly once; repeated rows are packed row by row.
+    ``group_rows`` is what one task packs at first; each further round merges ``fan_in`` groups, fewer where a group would
+    pass ``most_rows``, and the round in which nothing merges any more is the last.  A bin whose fill is at least
+    ``nearly_full`` leaves at once.  Every piece comes out exactly once; repeated rows are packed row by row.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark)
@@ -98,31 +105,30 @@ def pack(pieces: DataFrame, size: int, group_rows: int = 10_000, fan_in: int = 8
     full = pieces.where(F.col("length") >= size)
     rest = pieces.where(F.col("length") < size)
     # Rows are dealt out by their place in the written table: even, whatever their keys, and the same when repeated.
-    items = rest.select(F.col("length").alias("level"), F.array(F.struct(*pieces.columns)).alias("members"),
+    zero = F.lit(0).cast("bigint").alias("offset")
+    items = rest.select(F.col("length").alias("level"), F.array(F.struct(*pieces.columns, zero)).alias("members"),
                         F.monotonically_increasing_id().alias("place"))
     groups = max(1, -(-rest.count() // group_rows))
-    schema = f"level bigint, members {MEMBERS}, place bigint, done boolean, sequence_id bigint"
-    finished, number = [], 0
-    while True:
-        last = groups == 1
-        run = _pack_group(size, number, nearly_full * size, last)
-        packed = (
+    finished, number, merging = [], 0, True
+    while merging:
+        packed = scratch.put(
             items.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int"))
-            .groupBy("bucket").applyInPandas(run, schema))
-        packed = scratch.put(packed, f"round{number}")
-        finished.append(packed.where("done"))
-        if last:
-            break
-        items = packed.where(~F.col("done")).select("level", "members", "place")
-        groups, number = -(-groups // fan_in), number + 1
+            .groupBy("bucket").applyInPandas(_pack_group(size, number), f"level bigint, members {MEMBERS}, place bigint"),
+            f"round{number}")
+        open_bins = packed.where(F.col("level") < nearly_full * size)
+        least = open_bins.agg(F.min("level")).first()[0]
+        # a bin is done if it is nearly full, or if even the smallest one left would not fit into it
+        done = (F.col("level") >= nearly_full * size) | (F.col("level") + F.lit(least or 0) > size)
+        left = packed.where(~done).count()
+        fewer = max(-(-groups // fan_in), -(-left // most_rows))
+        merging = left > 0 and fewer < groups
+        finished.append(packed.where(done) if merging else packed)
+        items, groups, number = packed.where(~done).select("level", "members", "place"), fewer, number + 1
 
     done = finished[0]
     for more in finished[1:]:
         done = done.unionByName(more)
-    placed = (
-        done.select("sequence_id", F.posexplode("members").alias("at", "m"), "members")
-        .select("sequence_id", "m.*", F.aggregate(
-            F.slice("members", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["length"]).alias("offset")))
+    placed = done.select(F.col("place").alias("sequence_id"), F.explode("members").alias("m")).select("sequence_id", "m.*")
     alone = full.select(
         (F.lit(127 << 56) + F.monotonically_increasing_id()).alias("sequence_id"), *pieces.columns,
         F.lit(0).cast("bigint").alias("offset"))
