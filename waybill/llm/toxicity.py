@@ -166,20 +166,49 @@ def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
     return float(w[0]), float(max(w[1], 0.0))
 
 
+def parts_of(texts: list[bytes], size: int = 1 << 18) -> Iterator[list[tuple[int, bytes]]]:
+    """``texts`` with their numbers in parts of about ``size`` bytes; a longer text comes in pieces cut at blanks."""
+    part, held = [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            stop = text.find(b" ", start + size)
+            stop = stop if stop >= 0 else len(text)
+            part.append((i, text[start:stop]))
+            held += stop - start
+            start = stop
+            if held >= size:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
+
+
 def scorer(model, margin: float):
     """A function from texts to their numbers of words and log-likelihood ratios per word; remembers words by worker."""
     known: dict[bytes, float] = {}
 
-    def run(texts: list[bytes]) -> tuple[list[int], list[float]]:
-        rows = [words_of(t.decode("utf-8", "replace")) for t in texts]
-        if len(known) > MEMORY_WORDS:
+    def learn(words: set[bytes]) -> None:
+        if len(known) + len(words) > MEMORY_WORDS:
             known.clear()
-        new = list({w for ws in rows for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            scores = model.value.word_scores(new[i: i + 20_000])
+        new = list(words)
+        for i in range(0, len(new), 2000):
+            scores = model.value.word_scores(new[i: i + 2000])
             scores[np.abs(scores) < margin] = 0.0
-            known.update(zip(new[i: i + 20_000], scores.tolist(), strict=True))
-        return [len(ws) for ws in rows], [sum(map(known.__getitem__, ws)) / max(len(ws), 1) for ws in rows]
+            known.update(zip(new[i: i + 2000], scores.tolist(), strict=True))
+
+    def run(texts: list[bytes]) -> tuple[list[int], list[float]]:
+        sizes, totals = [0] * len(texts), [0.0] * len(texts)
+        for part in parts_of(texts):  # the words of a bounded part of all texts are held at a time
+            rows = [(i, words_of(t.decode("utf-8", "replace"))) for i, t in part]
+            new = {w for _, ws in rows for w in ws if w not in known}
+            if new:
+                # after a fresh start the words met before are new as well
+                learn(new if len(known) + len(new) <= MEMORY_WORDS else {w for _, ws in rows for w in ws})
+            for i, ws in rows:
+                sizes[i] += len(ws)
+                totals[i] += sum(map(known.__getitem__, ws))
+        return sizes, [t / max(n, 1) for t, n in zip(totals, sizes, strict=True)]
 
     return run
 
