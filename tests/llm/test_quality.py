@@ -168,3 +168,31 @@ def test_licenses_against_brute_force(spark, odd, odd_rows):
     plan = licenses.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange hash" not in plan
     assert licenses.scan(odd.where("false")).count() == 0
+
+
+def test_variety_does_not_depend_on_length(spark):
+    """A text of few different words gets the same share of them, however long it is."""
+    shares = []
+    for n in (300, 3000, 30_000):
+        f = quality_rules.text_figures(" ".join(f"w{i % 9}" for i in range(n)).encode())
+        shares.append(f["n_varied"] / f["n_words"])
+    assert max(shares) < 0.05
+    plain = quality_rules.text_figures(" ".join(f"w{i}" for i in range(5000)).encode())
+    assert plain["n_varied"] == plain["n_words"] == 5000
+
+
+def test_word_shapes_do_not_depend_on_blocks(monkeypatch):
+    text = ("Plain words, SHOUTED ones AND x1 2y ünd ÄÖ " * 200).encode()
+    whole = quality_rules.text_figures(text)
+    monkeypatch.setattr(quality_rules, "_BLOCK", 64)
+    assert quality_rules.text_figures(text) == whole
+
+
+def test_scores_do_not_depend_on_parts(monkeypatch):
+    texts = [b"", b"one", b"aa bb cc " * 50, b"dd" * 500 + b" ee", b"ff gg"]
+    for size in (1, 7, 100, 1 << 18):
+        whole = [b""] * len(texts)
+        for part in toxicity.parts_of(texts, size):
+            for i, t in part:
+                whole[i] += t
+        assert whole == texts

@@ -12,11 +12,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, append_figures, map_texts, shingle_hashes, word_hashes
+from .common import Scratch, append_figures, map_texts, shingle_hashes, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_plain", "n_shouted",
-           "n_stutter", "n_marks", "n_distinct")
+           "n_stutter", "n_marks", "n_varied")
+#: Words of the shortest stretch in which different words are counted.
+STRETCH = 200
 
 
 def text_figures(data: bytes, window: int = 8) -> dict[str, int]:
@@ -25,7 +27,8 @@ def text_figures(data: bytes, window: int = 8) -> dict[str, int]:
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that repeat an earlier line),
     n_repeat_words (words in windows of ``window`` words found twice or more, the first included), n_lines (lines with a
     word), n_plain (words of letters, at most one closing mark), n_shouted (words without small letters), n_stutter
-    (words equal to the one before), n_marks (exclamation and question marks), n_distinct (different words).  Repeats are
+    (words equal to the one before), n_marks (exclamation and question marks), n_varied (different words of each stretch, all
+    stretches added up; a text is parted evenly into stretches of 200 words or more).  Repeats are
     found by 64-bit hashes of words.
     """
     raw = np.frombuffer(data, np.uint8)
@@ -37,7 +40,7 @@ def text_figures(data: bytes, window: int = 8) -> dict[str, int]:
     out = {"n_words": n, "word_chars": chars - int(counts[9:14].sum() + counts[32]),
            "n_symbols": int(counts[list(SYMBOLS)].sum()), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)),
            "n_marks": int(counts[33] + counts[63]), "n_stutter": int((hashes[1:] == hashes[:-1]).sum()),
-           "n_distinct": len(np.unique(hashes)), "n_repeat_words": 0, "n_plain": 0, "n_shouted": 0}
+           "n_varied": _varied(hashes), "n_repeat_words": 0, "n_plain": 0, "n_shouted": 0}
     if n >= window:
         runs = shingle_hashes(hashes, window)
         order = np.argsort(runs, kind="stable")
@@ -54,6 +57,15 @@ def text_figures(data: bytes, window: int = 8) -> dict[str, int]:
     return out
 
 
+def _varied(hashes: np.ndarray) -> int:
+    """Different words of each stretch, added up; stretches are even parts of STRETCH words or more."""
+    cuts = np.linspace(0, len(hashes), max(1, len(hashes) // STRETCH) + 1).astype(np.int64)
+    return sum(len(set(hashes[a:b].tolist())) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+#: Bytes whose word shapes are looked at in one go.
+_BLOCK = 1 << 18
+
 #: Classes of bytes: 1 white space, 2 letter (bytes of longer characters count as letters), 4 small letter,
 #: 8 mark that may close a word.
 _CLASS = np.zeros(256, np.uint8)
@@ -65,20 +77,25 @@ _CLASS[[33, 39, 41, 44, 45, 46, 58, 59, 63, 34]] = 8
 
 
 def _word_shapes(raw: np.ndarray) -> tuple[int, int]:
-    kind = _CLASS[raw]
-    gap = np.ones(len(raw) + 2, bool)
-    gap[1:-1] = kind == 1
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-
-    def within(flag: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
-        return total[ends] - total[starts]
-
-    letters, small, size = within(kind & 2 > 0), within(kind & 4 > 0), ends - starts
-    closed = (kind[ends - 1] == 8).astype(np.int64)
-    plain = (letters >= 1) & (letters + closed >= size)
-    return int(plain.sum()), int(((letters >= 2) & (small == 0) & (raw[starts] < 128)).sum())
+    """Plain and shouted words, in blocks that are cut between words."""
+    starts, ends = word_spans(raw)
+    plain = shouted = first = 0
+    while first < len(starts):
+        left = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, left + _BLOCK)))
+        kind = _CLASS[raw[left: ends[last - 1]]]
+        s, e = starts[first:last] - left, ends[first:last] - left
+
+        def within(flag: np.ndarray, s: np.ndarray = s, e: np.ndarray = e) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
+            return total[e] - total[s]
+
+        letters, small, size = within(kind & 2 > 0), within(kind & 4 > 0), e - s
+        closed = (kind[e - 1] == 8).astype(np.int64)
+        plain += int(((letters >= 1) & (letters + closed >= size)).sum())
+        shouted += int(((letters >= 2) & (small == 0) & (raw[starts[first:last]] < 128)).sum())
+        first = last
+    return plain, shouted
 
 
 def figures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +133,7 @@ def rules() -> dict[str, Column]:
         "repeated_words": _vote(share("n_repeat_words") > 0.15, F.col("n_repeat_words") == 0),
         "word_length": _vote((share("word_chars") < 2.5) | (share("word_chars") > 14),
                              share("word_chars").between(3.5, 9.5)),
-        "variety": _vote((share("n_distinct") < 0.15) & (F.col("n_words") < 1000), F.lit(False)),
+        "variety": _vote(share("n_varied") < 0.2, F.lit(False)),
     }
 
 
