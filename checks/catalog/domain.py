@@ -533,7 +533,7 @@ def dom_compare_periods(v):
 
 
 @query("dom_compare_periods_joined", "week_:i shipping_carrier:s buyer_state:s avg_1:f avg_2:f "
-       "percentile_80_1:f percentile_80_2:f percentile_95_1:f", f"""
+       "percentile_80_1:f percentile_80_2:f percentile_95_1:f percentile_95_2:f", f"""
     WITH d1 AS (SELECT * FROM ox_lead WHERE {day('expected_delivery')}
         BETWEEN DATE '{P1[0]}' AND DATE '{P1[1]}'),
     d2 AS (SELECT * FROM ox_lead WHERE {day('expected_delivery')}
@@ -542,7 +542,8 @@ def dom_compare_periods(v):
       round(avg(d1.deli_1st_leadtime), 3) AS avg_1, round(avg(d2.deli_1st_leadtime), 3) AS avg_2,
       round(quantile_disc(d1.deli_1st_leadtime, 0.8), 1) AS percentile_80_1,
       round(quantile_disc(d2.deli_1st_leadtime, 0.8), 1) AS percentile_80_2,
-      round(quantile_disc(d1.deli_1st_leadtime, 0.95), 1) AS percentile_95_1
+      round(quantile_disc(d1.deli_1st_leadtime, 0.95), 1) AS percentile_95_1,
+      round(quantile_disc(d2.deli_1st_leadtime, 0.95), 1) AS percentile_95_2
     FROM d1 LEFT JOIN d2 ON d1.shipping_carrier = d2.shipping_carrier GROUP BY 1, 2, 3""")
 def dom_compare_periods_joined(v):
     return rep.leadtime_two_periods(base(v), P1, P2, faithful=True, digits=3)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import codes
 from ..functions.times import day, due_date, due_date_midnight, iso_week
+from . import histograms as hst
 
 
 def flag_sum(condition: Column) -> Column:
@@ -81,43 +82,34 @@ def leadtime_stats(df: DataFrame, by: Sequence[str], leadtime: str = "deli_1st_l
                    parcel: str = "lm_tracking_no", digits: int = 1) -> DataFrame:
     """Mean, 80th and 95th percentile of the lead time and distinct parcels.
 
-    The distinct count is an aggregate of its own, joined per group: together
-    with the percentiles it would make Spark keep one sketch per parcel, while
-    alone the sketches are per task and group.
+    Exact, from a counted histogram of the group; the facts are read once.
     """
-    figures = df.groupBy(*by).agg(
-        F.round(F.avg(leadtime), digits).alias("avg_time"),
-        F.round(percentile(leadtime, 0.8), digits).alias("percentile_80"),
-        F.round(percentile(leadtime, 0.95), digits).alias("percentile_95"))
-    names = [f"__g{i}" for i in range(len(by))]
-    parcels = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(
-        F.count_distinct(parcel).alias("order_"))
-    same = F.lit(True)
-    for column, name in zip(by, names):
-        same = same & F.col(column).eqNullSafe(F.col(name))
-    return figures.join(parcels, same).drop(*names)
+    figures = hst.histogram_and_distinct(df.select(*by, leadtime, parcel), by, leadtime, parcel)
+    return figures.select(
+        *by, F.round(hst.mean(F.col("counts")), digits).alias("avg_time"),
+        *hst.histogram_figures("counts", (80, 95), digits)[1:], F.col("items").alias("order_"))
 
 
 def compare_periods(df: DataFrame, by: Sequence[str], periods: Mapping[str, tuple[str, str]],
                     date: str = "expected_delivery", leadtime: str = "deli_1st_leadtime",
                     digits: int = 1) -> DataFrame:
-    """Lead time of several periods side by side, one conditional aggregate.
+    """Lead time of several periods side by side, from one counted histogram.
 
     Every figure is taken from its own period only; the two sides are never
     joined on a coarse key, which would weight one period by the other's size.
+    Periods may overlap.
     """
-    picked = []
+    inside = {n: _within(date, period) for n, period in periods.items()}
     any_period = F.lit(False)
-    for name, (first, last) in periods.items():
-        inside = day(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-        any_period = any_period | inside
-        value = F.when(inside, F.col(leadtime))
-        picked += [
-            F.round(F.avg(value), digits).alias(f"avg_{name}"),
-            F.round(percentile(value, 0.8), digits).alias(f"percentile_80_{name}"),
-            F.round(percentile(value, 0.95), digits).alias(f"percentile_95_{name}"),
-        ]
-    return df.where(any_period).groupBy(*by).agg(*picked)
+    for i in inside.values():
+        any_period = any_period | i
+    flags = {n: f"__in_{n}" for n in periods}
+    counted = hst.value_histogram(
+        df.where(any_period).select(*by, leadtime, *[i.alias(flags[n]) for n, i in inside.items()]),
+        [*by, *flags.values()], leadtime)
+    grouped = counted.groupBy(*by).agg(
+        *[hst.sorted_counts(leadtime, where=F.col(f)).alias(f) for f in flags.values()])
+    return grouped.select(*by, *[c for n, f in flags.items() for c in hst.histogram_figures(f, (80, 95), digits, f"_{n}")])
 
 
 def compare_periods_fanout(df: DataFrame, left: tuple[str, str], right: tuple[str, str],
@@ -128,22 +120,28 @@ def compare_periods_fanout(df: DataFrame, left: tuple[str, str], right: tuple[st
     Joining every row of the first period with every second-period row of the
     same carrier gives figures in which the second period's side is the
     carrier's own average and percentile (each row repeated equally often).
-    That is computed here directly: the second period is aggregated per
-    carrier, the first per group, and only the two small results are joined -
-    no pair is ever formed.
+    That is computed here directly, and the facts are read once: one counted
+    histogram holds both periods, and a carrier's second period is put together
+    from the histograms of its groups.  ``match`` is one of ``by``.
     """
-    def within(period):
-        return day(date).between(*[F.lit(d).cast("date") for d in period])
-
-    first = df.where(within(left)).withColumn("week_", iso_week(date) + 1).groupBy(*by).agg(
-        F.round(F.avg(leadtime), digits).alias("avg_1"),
-        F.round(percentile(leadtime, 0.8), digits).alias("percentile_80_1"),
-        F.round(percentile(leadtime, 0.95), digits).alias("percentile_95_1"))
-    second = df.where(within(right)).groupBy(match).agg(
-        F.round(F.avg(leadtime), digits).alias("avg_2"),
-        F.round(percentile(leadtime, 0.8), digits).alias("percentile_80_2"),
-        F.round(percentile(leadtime, 0.95), digits).alias("percentile_95_2"))
-    return first.join(second, match, "left")
+    weeks = df.where(_within(date, left) | _within(date, right)).withColumn("week_", iso_week(date) + 1)
+    counted = hst.value_histogram(
+        weeks.select(*by, leadtime, _within(date, left).alias("__left"), _within(date, right).alias("__right")),
+        [*by, "__left", "__right"], leadtime)
+    grouped = counted.groupBy(*by).agg(
+        hst.sorted_counts(leadtime, where=F.col("__left")).alias("__first"),
+        hst.sorted_counts(leadtime, where=F.col("__right")).alias("__part"),
+        F.max("__left").alias("__wanted"))
+    # a group of unknown ``match`` would find no partner in the join
+    part = F.when(F.col(match).isNotNull(), F.col("__part")).otherwise(F.slice("__part", 1, 0))
+    whole = F.array_sort(F.flatten(F.collect_list(part).over(Window.partitionBy(match))))
+    return grouped.withColumn("__second", whole).where("__wanted").select(
+        *by, *hst.histogram_figures("__first", (80, 95), digits, "_1"),
+        *hst.histogram_figures("__second", (80, 95), digits, "_2"))
+
+
+def _within(date: str, period: tuple[str, str]) -> Column:
+    return day(date).between(*[F.lit(d).cast("date") for d in period])
 
 
 # --- backlog -----------------------------------------------------------------
