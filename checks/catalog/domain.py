@@ -13,6 +13,7 @@ from waybill.operators import delivery as dlv
 from waybill.operators import fees, penalty, volume
 from waybill.operators import milestones as mst
 from waybill.operators import orders as ord_
+from waybill.operators import parcel_state as pst
 from waybill.operators import sla as sl
 from waybill.operators.pickup import pickup_kpis
 from waybill.plans import cases
@@ -50,12 +51,13 @@ def resolved(v):
         mst.milestones(v.tracking, mst.BACKLOG), v.parcel, v.fulfilment, v.audit)
 
 
-def all_base(v):
-    return rep.all_carrier_base(resolved(v), v.fx_orders, v.oms, v.warehouse, v.routes)
+def all_base(v, as_of=None):
+    return rep.all_carrier_base(resolved(v), v.fx_orders, v.oms, v.warehouse, v.routes, as_of)
 
 
-def classified(v):
-    return rep.all_carrier_classified(all_base(v), v.sla, v.sla, v.extend, v.extend, v.holiday)
+def classified(v, as_of=None):
+    return rep.all_carrier_classified(
+        all_base(v, as_of), v.sla, v.sla, v.extend, v.extend, v.holiday)
 
 
 def schedule(v, carriers=None):
@@ -63,16 +65,16 @@ def schedule(v, carriers=None):
                                  v.fx_orders, mst.ALL_GAPS, carriers)
 
 
-def eco_base(v):
+def eco_base(v, created_since=None):
     times = mst.bounded_pending(mst.milestones(v.legacy, mst.LEGACY, listed_only=True))
     return pen.penalty_base(v.fx_orders, v.logistic, v.logistic_data, times, v.oms, v.warehouse,
-                            codes.ECONOMY_CHANNEL, True)
+                            codes.ECONOMY_CHANNEL, True, created_since)
 
 
-def exp_base(v):
+def exp_base(v, created_since=None):
     times = mst.milestones(v.tracking, mst.EXPRESS_PENALTY, listed_only=True)
     return pen.penalty_base(v.fx_orders, v.logistic, v.logistic_data, times, v.oms, v.warehouse,
-                            codes.EXPRESS_CHANNEL, False)
+                            codes.EXPRESS_CHANNEL, False, created_since)
 
 
 def case_facts(v, ids=None, extra=()):
@@ -151,6 +153,28 @@ def dom_nth_return(v):
         {"tracking_detail_reason": "reason", "tracking_time": "time"})
 
 
+def arrivals(v):
+    """The log in three disjoint parts, by the day an event arrived; late events come with a later part."""
+    at = F.to_date(F.timestamp_seconds("ctime"))
+    early, late = F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date")
+    return [v.tracking.where(at < early), v.tracking.where((at >= early) & (at < late)), v.tracking.where(at >= late)]
+
+
+@query("dom_state_milestones", MS_COLUMNS, """
+    SELECT * FROM ox_ms WHERE coalesce(pku_done_time, deli_done_time, deli_failed_time, deli_1st_time,
+      dli_pending_tracking_time, pku_1st_time, pku_failed_time) IS NOT NULL""")
+def dom_state_milestones(v):
+    days = [pst.day_state(part, mst.ALL_GAPS, "F650") for part in arrivals(v)]
+    return pst.state_milestones(pst.merge_states(days, mst.ALL_GAPS), mst.ALL_GAPS)
+
+
+@query("dom_state_attempts", f"log_id:i {WIDE}", "SELECT * FROM ox_wide")
+def dom_state_attempts(v):
+    first, second, third = [pst.day_state(part, mst.ALL_GAPS, "F650") for part in arrivals(v)]
+    yesterday = pst.merge_states([third, first], mst.ALL_GAPS)  # in any order
+    return pst.state_attempts(pst.merge_states([yesterday, second], mst.ALL_GAPS))
+
+
 @query("dom_attempt_count", "log_id:i attempt_count:i", "SELECT * FROM ox_attempts")
 def dom_attempt_count(v):
     return att.attempts_wide(v.tracking, "F650").withColumn("attempt_count", att.attempt_count())

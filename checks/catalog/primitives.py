@@ -40,6 +40,18 @@ def scan_snapshot_lag2(v):
     return scans.snapshot(v.lineitem, SNAPSHOT_DAY, lag=2, partition="l_shipdate")
 
 
+@query("scan_month_days", "day:d n:i", """
+    SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem
+    WHERE CAST(l_shipdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders
+      WHERE CAST(date_trunc('month', o_orderdate) AS DATE) = DATE '1995-03-01') GROUP BY 1""")
+def scan_month_days(v):
+    """The days of a month that had orders, taken from the order table."""
+    days = scans.days_of(v.orders.select(F.to_date("o_orderdate").alias("day")),
+                         F.date_trunc("month", "day").cast("date") == F.lit(dt.date(1995, 3, 1)))
+    shipped = v.lineitem.select(F.to_date("l_shipdate").alias("day"))
+    return scans.restrict_to_days(shipped, days, "day").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_partition_range", "l_returnflag:s n:i qty:f", """
     SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty FROM lineitem
     WHERE l_shipdate > TIMESTAMP '1999-01-01' AND l_linestatus = 'O' GROUP BY 1""")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from waybill.functions import codes
+from waybill.functions.times import months_before
 from waybill.operators import attempts as att
 from waybill.operators import volume
 from waybill.operators.orders import terminal_between
@@ -195,9 +196,10 @@ ALL_ROW = ("SELECT DISTINCT lm_tracking_no, pickup_done_time, buyer_state, buyer
       sum(CASE WHEN check_delivery_ontime = 'Late' THEN 1 ELSE 0 END) AS late_delivery,
       sum(CASE WHEN dli_pending_tracking_time IS NULL AND delivery_done_time IS NOT NULL THEN 1
         ELSE 0 END) AS deli_done_1st_time, count(delivery_failed) AS deli_failed
-    FROM ({ALL_ROW}) GROUP BY ALL""")
+    FROM ({ALL_ROW}) WHERE {day('first_attempt_delivery_time')} BETWEEN DATE '2024-01-10'
+      AND DATE '2024-07-10' GROUP BY ALL""")
 def rep_yearly_all_carriers(v):
-    return rep.yearly_all_carriers(classified(v), FIRST, LAST)
+    return rep.yearly_all_carriers(classified(v, dt.date(2024, 7, 10)), FIRST, LAST)
 
 
 @query("rep_all_carrier_detail", "week_:i lm_tracking_no:s buyer_state:s buyer_city:s tpl_call:s "
@@ -379,22 +381,27 @@ PEN_ROW = ("order_id, log_id, limit_leadtime_delivery, limit_leadtime_return, de
            "is_delay_delivery_overall, is_delay_return_overall, final_penalty")
 MONTH = (f"({day('be_delivered_time')} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' OR "
          f"{day('be_delivery_failed_lost_time')} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')")
+#: Orders created in the three months up to the month of the report; December's are out.
+REPORT_DAY = dt.date(2024, 4, 15)
+CREATED = (f"order_id IN (SELECT order_id FROM fx_orders "
+           f"WHERE {day(ts('create_timestamp - 3600'))} >= DATE '2024-01-01')")
 
 
 @query("rep_economy_penalty", PENALTY, f"""
-    SELECT DISTINCT {PEN_ROW} FROM ox_eco WHERE {MONTH} AND final_penalty <> ''""")
+    SELECT DISTINCT {PEN_ROW} FROM ox_eco WHERE {MONTH} AND final_penalty <> '' AND {CREATED}""")
 def rep_economy_penalty(v):
-    scoped = terminal_between(eco_base(v), "2024-01-01", "2024-01-31")
+    recent = eco_base(v, months_before(REPORT_DAY, 3, whole=True))
+    scoped = terminal_between(recent, "2024-01-01", "2024-01-31")
     return pen.sheet(pen.economy_penalty(
         scoped, v.regions, v.region_route, v.remote, v.holiday))
 
 
 @query("rep_express_penalty", f"{PENALTY} filter_date:t", f"""
     SELECT DISTINCT {PEN_ROW}, coalesce(be_delivered_time, be_delivery_failed_lost_time)
-      AS filter_date FROM ox_exp WHERE final_penalty <> ''""")
+      AS filter_date FROM ox_exp WHERE final_penalty <> '' AND {CREATED}""")
 def rep_express_penalty(v):
     return pen.sheet(pen.express_penalty(
-        exp_base(v), v.area, v.express_route, v.rural, v.remote, v.holiday), ["filter_date"])
+        exp_base(v, months_before(REPORT_DAY, 3, whole=True)), v.area, v.express_route, v.rural, v.remote, v.holiday), ["filter_date"])
 
 
 @query("rep_penalty_check", PENALTY, f"SELECT DISTINCT {PEN_ROW} FROM ox_eco_check")

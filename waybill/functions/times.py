@@ -44,6 +44,19 @@ def epoch_between(seconds, first: str, last: str, shift: int = 0) -> Column:
     return (_c(seconds) >= start - shift) & (_c(seconds) < end + 86_400 - shift)
 
 
+def months_before(as_of: dt.date, months: int, whole: bool = False) -> dt.date:
+    """The same day ``months`` months earlier, or the last of a shorter month; ``whole`` counts from the first of the month."""
+    at = as_of.year * 12 + as_of.month - 1 - months
+    year, month = divmod(at, 12)
+    last = calendar.monthrange(year, month + 1)[1]
+    return dt.date(year, month + 1, 1 if whole else min(as_of.day, last))
+
+
+def epoch_from(seconds, first: dt.date, shift: int = 0) -> Column:
+    """True where ``from_epoch(seconds, shift)`` falls on ``first`` or later, stated on the stored column."""
+    return _c(seconds) >= calendar.timegm(first.timetuple()) - shift
+
+
 def event_time(actual, ctime=None, shift: int = REPORT_SHIFT) -> Column:
     return from_epoch(event_epoch(actual, ctime), shift)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, codes
 from ..functions.times import (
-    day, elapsed, gap_days, iso_week, leadtime_days, month_label, period_start, sundays_between,
+    day, elapsed, gap_days, iso_week, leadtime_days, month_label, months_before, period_start, sundays_between,
 )
 from ..operators import attempts as att
 from ..operators import delivery as dlv
@@ -17,6 +17,7 @@ from ..operators import milestones as mst
 from ..operators.orders import multi_parcel
 from ..operators.sla import holiday_days, route_lookup, sla_days, sla_days_multi
 from ..sources.marts import single_order_sn
+from ..sources.scans import Scope
 
 BOTH = (codes.EXPRESS_CHANNEL, codes.ECONOMY_CHANNEL)
 
@@ -25,15 +26,20 @@ def parcel_facts(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame,
                  tracking: DataFrame, spec: Mapping = mst.DELIVERY,
                  channels: Sequence[int] | None = BOTH,
                  order_columns: Sequence[str] = (), parcel_columns: Sequence[str] = (),
-                 fulfilment_columns: Sequence[str] = (), keep_id: bool = False) -> DataFrame:
+                 fulfilment_columns: Sequence[str] = (), keep_id: bool = False,
+                 scope: Scope | None = None) -> DataFrame:
     """Distinct parcels with order addresses and milestones.
 
     Milestones, parcels and fulfilment rows are all keyed by parcel, so they
     meet in the partitioning the milestone aggregate already has; the order
     table is the only other shuffle.  Orders that travel under one tracking
     number from and to the same addresses give one row (``keep_id`` keeps
-    parcels with different ids apart).
+    parcels with different ids apart).  ``scope`` restricts the marts to their
+    snapshot, the orders and the log to a range of partitions.
     """
+    if scope is not None:
+        orders, tracking = scope.orders(orders), scope.log(tracking)
+        fulfilment, parcel = scope.snapshot(fulfilment), scope.snapshot(parcel)
     if channels is not None:
         parcel = parcel.where(F.col("fulfillment_channel_id").isin(*channels))
     head = parcel.select("log_id", "lm_tracking_no", "fulfillment_channel_id",
@@ -187,8 +193,16 @@ def leadtime_two_periods(base: DataFrame, left, right, faithful: bool = False,
 # --- all carriers --------------------------------------------------------------
 
 def all_carrier_base(resolved: DataFrame, orders: DataFrame, oms: DataFrame,
-                     warehouse: DataFrame, routes: DataFrame) -> DataFrame:
-    """Resolved parcels with origin, carrier names and route."""
+                     warehouse: DataFrame, routes: DataFrame, as_of: dt.date | None = None,
+                     months: int = 6) -> DataFrame:
+    """Resolved parcels with origin, carrier names and route.
+
+    With ``as_of``, only parcels first attempted in the ``months`` months up to
+    that day; the bound is applied before the parcels meet any other table.
+    """
+    if as_of is not None:
+        resolved = resolved.where(day("first_attempt_delivery_time").between(
+            F.lit(months_before(as_of, months)), F.lit(as_of)))
     multi = multi_parcel(oms, "order_id", "forder_id", F.col("whs_id").isNotNull())
     depot = oms.select(F.col("forder_id").alias("oms_forder_id"), F.col("whs_id").alias("__w"))
     places = warehouse.select(F.col("whs_id").alias("__w"), F.col("state").alias("wh_state"),

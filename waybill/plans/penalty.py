@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codes
 from ..functions.classify import is_dropoff
-from ..functions.times import REPORT_SHIFT, day, from_epoch
+from ..functions.times import REPORT_SHIFT, day, epoch_from, from_epoch
 from ..operators import orders as ord_
 from ..operators import penalty as pen
 from ..operators.sla import holidays_in_windows, remote_addon, sla_express, sla_region
@@ -14,8 +16,14 @@ from ..operators.sla import holidays_in_windows, remote_addon, sla_express, sla_
 
 def penalty_base(orders: DataFrame, logistic: DataFrame, requests: DataFrame, times: DataFrame,
                  oms: DataFrame, warehouse: DataFrame, channel: int,
-                 multi_with_warehouse_only: bool) -> DataFrame:
-    """Orders of one channel with milestones, terminal dates and real origin."""
+                 multi_with_warehouse_only: bool, created_since: dt.date | None = None) -> DataFrame:
+    """Orders of one channel with milestones, terminal dates and real origin.
+
+    ``created_since`` keeps orders created on that day or later; the bound is
+    on the stored timestamp, so the scan of the order table can skip.
+    """
+    if created_since is not None:
+        orders = orders.where(epoch_from("create_timestamp", created_since, REPORT_SHIFT))
     head = orders.where(
         (F.col("is_cb_shop") == 0) & (F.col("fulfilment_channel_id") == channel)
     ).withColumns(ord_.terminal_times()).select(

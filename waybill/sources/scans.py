@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,6 +42,78 @@ def partition_range(df: DataFrame, since: dt.date, region: str | None = None,
     return df.where(keep)
 
 
+def days_of(dates: DataFrame, where: Column, day: str = "day") -> DataFrame:
+    """The days of a date table that satisfy ``where``, each once; see :func:`restrict_to_days`."""
+    return dates.where(where & F.col(day).isNotNull()).select(F.col(day).alias("__day")).distinct()
+
+
+def restrict_to_days(df: DataFrame, days: DataFrame, partition: str = "grass_date") -> DataFrame:
+    """Rows of the days in ``days``, for questions whose days are known only from data (a month of a date table, the
+    days of a campaign).
+
+    It is a semi join on the partition column: the small side is read first, and only the directories of its days are
+    listed and read.
+    """
+    return df.join(days, F.col(partition) == F.col("__day"), "left_semi")
+
+
+def write_by_day(df: DataFrame, path: str, day: Column, partition: str = "grass_date", spread: str | None = None,
+                 files: int = 8) -> None:
+    """Write ``df`` partitioned by day, replacing the days it has rows of and no others.
+
+    A day is written by at most ``files`` tasks, by the hash of ``spread``: without that every task would write a file
+    of every day, while one task a day would hold a hot day alone.  Rows without a day go to Spark's default partition.
+    """
+    keyed = df.withColumn(partition, day)
+    part = F.pmod(F.xxhash64(spread), F.lit(files)) if spread else F.lit(0)
+    keyed.repartition(F.col(partition), part).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Which partitions of the marts a report reads.
+
+    ``as_of`` names the snapshot (written ``lag`` days before); ``orders_since`` keeps the order partitions after that
+    day, ``log_since`` and ``log_until`` bound the days of the event log, and ``region`` is a partition as well.  A mart
+    without the partition column is read whole, so the same report runs on an unpartitioned copy.
+    """
+
+    as_of: dt.date
+    orders_since: dt.date | None = None
+    log_since: dt.date | None = None
+    log_until: dt.date | None = None
+    region: str | None = None
+    lag: int = 1
+    partition: str = "grass_date"
+    region_column: str = "grass_region"
+
+    def snapshot(self, mart: DataFrame) -> DataFrame:
+        if self.partition not in mart.columns:
+            return mart
+        return self._of_region(snapshot(mart, self.as_of, self.lag, self.partition))
+
+    def orders(self, mart: DataFrame) -> DataFrame:
+        return self._days(mart, self.orders_since, None, inclusive=False)
+
+    def log(self, log: DataFrame) -> DataFrame:
+        return self._days(log, self.log_since, self.log_until)
+
+    def _days(self, df: DataFrame, since: dt.date | None, until: dt.date | None, inclusive: bool = True) -> DataFrame:
+        if self.partition not in df.columns:
+            return df
+        if since is not None:
+            df = partition_range(df, since, partition=self.partition, inclusive=inclusive)
+        if until is not None:
+            df = df.where(F.col(self.partition) <= F.lit(until))
+        return self._of_region(df)
+
+    def _of_region(self, df: DataFrame) -> DataFrame:
+        if self.region is None or self.region_column not in df.columns:
+            return df
+        return df.where(F.col(self.region_column) == self.region)
+
+
 def latest_version(df: DataFrame, version: str = "ingestion_timestamp") -> DataFrame:
     """Rows of the newest upload of a versioned reference table.
 
