@@ -119,10 +119,10 @@ def join_role_dims(v):
         F.col("shopid"), F.col("username").alias("seller_user"))
     buyer = v.account.select(F.col("userid").alias("buyer_id"),
                              F.col("username").alias("buyer_user"))
-    # one shop may hold a large part of the orders: its key is spread
-    return lookups.spread_join(
-        v.fx_orders, seller, {"shop_id": "shopid"}, ["seller_user"], ["order_id"]).join(
-        buyer, "buyer_id", "left")
+    # one shop may hold a large part of the orders: such keys are found and split
+    return lookups.skew_join(
+        v.fx_orders, seller, {"shop_id": "shopid"}, ["seller_user"], ["order_id"],
+        lookups.hot_keys(v.fx_orders, ["shop_id"])).join(buyer, "buyer_id", "left")
 
 
 @query("join_by_status", "orderid:i picked:t delivered:t failed:t lost:t", """

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import codes
 from ..functions.classify import payment_type_by_id
 from ..functions.times import REPORT_SHIFT, from_epoch
-from .lookups import spread_join
+from .lookups import hot_keys, skew_join
 from .orders import multi_label
 
 ITEM_FEES = {
@@ -91,16 +91,21 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
     # equal shares of one tracked parcel count once
     shares = units.join(tracked, "log_id", "left").drop("log_id").distinct()
     # Left joins all along: an order without parcels keeps a row of its own.
-    # One shop may hold a large part of all orders, so its key is spread.
+    # One shop may hold a large part of all orders: only such shops are split.  Orders without a parcel, which may be
+    # most of them, have no tracking number and are dealt out instead of meeting in one task.
     rows = (
-        spread_join(head.join(shares, "order_id", "left"), sellers, {"shop_id": "shop_id"},
-                    ["seller_userid", "seller_user_name"], ["order_id"])
+        skew_join(head.join(shares, "order_id", "left"), sellers, {"shop_id": "shop_id"},
+                  ["seller_userid", "seller_user_name"], ["order_id"], hot_keys(orders, ["shop_id"]))
         .join(item_fees(items), "order_id", "left")
         .join(buyers, "buyer_id", "left")
         .join(escrow.distinct(), "order_id", "left")
         .join(insurance.distinct(), "order_id", "left")
         .join(refund_rows, "order_id", "left")
-        .join(multi, "order_id", "left").join(groups, "lm_tracking_no", "left")
+        .join(multi, "order_id", "left")
+    )
+    rows = (
+        skew_join(rows, groups, {"lm_tracking_no": "lm_tracking_no"},
+                  [c for c in groups.columns if c != "lm_tracking_no"], ["order_id"])
         .withColumn("check_cogs", components_match())
         .withColumn("check_multi_wh", multi_label("nb_parcels"))
         .withColumnRenamed("total_group", "check_group")

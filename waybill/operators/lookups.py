@@ -3,8 +3,9 @@
 No join here carries a broadcast hint.  Spark broadcasts a side only when its
 estimated or, at run time, measured size is below
 ``spark.sql.autoBroadcastJoinThreshold``; a larger reference table is joined by
-sort-merge, where adaptive execution splits hot keys of the fact side.  For
-keys known to be hot, :func:`spread_join` splits them up front.
+sort-merge, where adaptive execution splits hot keys of the fact side.
+:func:`skew_join` finds hot keys by a sketch and splits only these;
+:func:`spread_join` splits every key, for a side that is known to be hot all over.
 """
 
 from __future__ import annotations
@@ -70,6 +71,69 @@ def spread_join(big: DataFrame, small: DataFrame, on: Mapping[str, str],
     return salted.join(side, match, how).drop("__salt", "__part", *keys)
 
 
+#: Parts that rows without a key are dealt to; they match nothing, so nothing is copied for them.
+_KEYLESS_PARTS = 4096
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.02, most: int = 40,
+             tracked: int = 10_000) -> Column:
+    """Fingerprints of the keys that hold at least ``share`` of the rows of ``df``, as a scalar subquery.
+
+    A frequent-items sketch finds them in one pass over the key columns; it keeps ``tracked`` counters a task and merges
+    them, so its size does not grow with the data, and a key of more than one part in ``tracked`` cannot be missed.  Give
+    the table in which the keys stand, not the result of joins: the subquery reads it once more, its key columns only.
+    """
+    if most * share < 0.5:
+        raise ValueError("most * share must reach 0.5")
+    known = df
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    counted = known.select(F.xxhash64(*keys).alias("key")).agg(
+        F.call_function("approx_top_k", F.col("key"), F.lit(most), F.lit(tracked)).alias("top"),
+        F.count(F.lit(1)).alias("rows"))
+    hot = F.filter("top", lambda e: e["count"] >= F.col("rows") * share)
+    return counted.select(F.transform(hot, lambda e: e["item"]).alias("hot")).scalar()
+
+
+def copied_for(small: DataFrame, types: Mapping[str, str], on: Mapping[str, str], carry: Sequence[str],
+               hot: Column | None, salts: int) -> DataFrame:
+    """The small side of :func:`skew_join`: rows of hot keys once for each salt, all others once."""
+    keys = [f"__k{i}" for i in range(len(on))]
+    side = small.select(*[F.col(d).cast(types[b]).alias(k) for k, (b, d) in zip(keys, on.items())], *carry)
+    # Also without hot keys the part comes out of a generator: a constant would be folded into the join's condition, and
+    # rows would be dealt by their key alone.
+    parts = F.array(F.lit(0))
+    if hot is not None:
+        is_hot = F.array_contains(hot, F.xxhash64(*keys))
+        parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(parts)
+    return side.withColumn("__part", F.explode(parts))
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: Mapping[str, str], carry: Sequence[str], grain: Sequence[str],
+              hot: Column | None = None, how: str = "left", salts: int = 16) -> DataFrame:
+    """Equality join that splits hot keys and rows without a key, and leaves everything else as it is.
+
+    ``hot`` comes from :func:`hot_keys`; the rows of ``big`` with such a key are dealt to ``salts`` parts, and only the
+    rows of ``small`` with such a key are copied.  Rows of ``big`` with a null key match nothing and are dealt out evenly
+    instead of meeting in one task.  Without ``hot`` only the latter is done, and nothing is copied.  ``grain`` names
+    columns that tell the rows of ``big`` apart, so that a retried task deals them out alike.
+    """
+    types = {c: big.schema[c].dataType for c in on}
+    keys = [f"__k{i}" for i in range(len(on))]
+    dealt = F.xxhash64(*grain)
+    no_key = F.lit(False)
+    for c in on:
+        no_key = no_key | F.col(c).isNull()
+    salt = F.when(no_key, F.pmod(dealt, F.lit(_KEYLESS_PARTS)))
+    if hot is not None:
+        salt = salt.when(F.array_contains(hot, F.xxhash64(*on)), F.pmod(dealt, F.lit(salts)))
+    salted = big.withColumn("__salt", salt.otherwise(0).cast("int"))
+    match = F.col("__salt") == F.col("__part")
+    for key, column in zip(keys, on):
+        match = match & (F.col(column) == F.col(key))
+    return salted.join(copied_for(small, types, on, carry, hot, salts), match, how).drop("__salt", "__part", *keys)
+
+
 def exists_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
     """Adds a boolean: does the key occur in ``keys``?  Never multiplies rows."""
     marked = keys.select(*on).distinct().withColumn("__hit", F.lit(True))
