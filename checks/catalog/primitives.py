@@ -11,7 +11,7 @@ from waybill.functions.times import iso_week, month_label, period_start
 from waybill.operators.lookups import exists_flag
 from waybill.operators.orders import multi_parcel
 from waybill.operators.pickup import hub_type, not_cancelled_same_day
-from waybill.sources import marts, scans
+from waybill.sources import marts, scans, sheets
 
 from ..oracle_views import PARCEL_STATE
 from ..registry import query
@@ -94,6 +94,19 @@ def scan_values(v):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("scan_rejects", "column:s rows:i filled:i rejects:i", """
+    SELECT 'p_size' AS column, count(*) AS rows, count(p_size) AS filled,
+      count(CASE WHEN TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NULL THEN p_size END) AS rejects FROM part
+    UNION ALL SELECT 'p_brand', count(*), count(p_brand),
+      count(CASE WHEN TRY_CAST(p_brand AS INTEGER) IS NULL THEN p_brand END) FROM part
+    UNION ALL SELECT 'p_last', count(*), count(p_name),
+      count(CASE WHEN TRY_CAST(right(p_brand, 2) AS INTEGER) IS NULL THEN p_brand END) FROM part""")
+def scan_rejects(v):
+    """How much of three columns can be read as numbers."""
+    part = v.part.withColumn("p_last", F.expr("right(p_brand, 2)"))
+    return sheets.rejected_cells(part, {"p_size": "double", "p_brand": "int", "p_last": "int"})
+
+
 @query("scan_cross_source", "id:s channel:i weight:f", """
     SELECT i.id, p.fulfillment_channel_id AS channel, f.parcel_chargeable_weight AS weight
     FROM fx_ids i LEFT JOIN fx_parcel p ON p.lm_tracking_no = i.id

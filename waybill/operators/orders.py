@@ -54,9 +54,9 @@ def order_dims(order_items: DataFrame, items: DataFrame) -> DataFrame:
     measure counts.
     """
     measure = items.select(
-        "item_id", *[F.col(c).cast("double").alias(c)
+        "item_id", *[F.col(c).try_cast("double").alias(c)
                      for c in ("weight", "dim_width", "dim_length", "dim_height")])
-    amount = F.col("item_amount").cast("double")
+    amount = F.col("item_amount").try_cast("double")
     per_item = (
         measure.join(order_items.select("order_id", "item_id", "item_amount"), "item_id")
         .groupBy("order_id", "item_id").agg(

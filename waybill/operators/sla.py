@@ -187,8 +187,8 @@ def _holiday_lists(cal: DataFrame, kinds: Sequence[str]) -> DataFrame:
     days = (
         latest_version(cal).where(F.col("type").isin(*kinds))
         .select(F.lower("shipping_carrier").alias("__carrier"), "type",
-                F.col("holiday_start").cast("date").alias("first"),
-                F.col("nb_holiday").cast("int").alias("nb"))
+                F.col("holiday_start").try_cast("date").alias("first"),
+                F.col("nb_holiday").try_cast("int").alias("nb"))
         .distinct()
     )
     return days.groupBy("__carrier").agg(*[

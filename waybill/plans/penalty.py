@@ -40,10 +40,10 @@ def penalty_base(orders: DataFrame, logistic: DataFrame, requests: DataFrame, ti
     multi = ord_.multi_parcel(oms, "order_id", "forder_id", only)
     unit = oms.select(
         F.col("forder_id").cast("string").alias("forderid"), F.col("whs_id").alias("__w"),
-        (F.col("origin_shipping_fee").cast("double") / 100000).alias("sls_esf"),
+        (F.col("origin_shipping_fee").try_cast("double") / 100000).alias("sls_esf"),
         from_epoch("arranged_time", REPORT_SHIFT).alias("multi_arranged_time"),
         from_epoch("delivered_time").alias("multi_delivered_time"),
-        (F.get_json_object("attributes", "$.chargeable_weight").cast("double") / 1000).alias(
+        (F.get_json_object("attributes", "$.chargeable_weight").try_cast("double") / 1000).alias(
             "order_weight"))
     depot = warehouse.select(F.col("whs_id").alias("__w"), F.col("state").alias("wh_state"),
                              F.col("city").alias("wh_city"), F.col("district").alias("wh_district"))
@@ -75,7 +75,7 @@ def economy_penalty(base: DataFrame, regions: DataFrame, route: DataFrame, remot
                     overall_days: int = codes.ECONOMY_OVERALL_DAYS) -> DataFrame:
     """Region-pair service level, limits and penalties."""
     df = sla_region(base, regions, route)
-    df = remote_addon(df.withColumn("total_sla", F.col("sla").cast("double")), remote)
+    df = remote_addon(df.withColumn("total_sla", F.col("sla").try_cast("double")), remote)
     df = pen.lead_times(df)
     whole = F.floor(F.col("total_sla") + 0.5).cast("int")
     df = holidays_in_windows(df, calendar, "fulfilment_shipping_carrier", pen.holiday_windows(
