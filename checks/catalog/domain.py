@@ -669,7 +669,12 @@ def dom_terminal_date(v):
 FEE = ("order_id:i lm_tracking_no:s consignment_no:s payment_method:s seller_user_name:s "
        "buyer_name:s seller_transaction_fee:f comm_fee:f service_fee:f cogs:f cogs_item:f "
        "check_cogs:s check_multi_wh:s check_group:i refund_id:i premium:f "
-       "buyer_paid_insurance_premium:f total_cogs:f")
+       "buyer_paid_insurance_premium:f total_cogs:f shipping_carrier:s payment_channel:s buyer_id:i "
+       "order_sn:s created_date:t order_be_status:s logistics_status:s shop_id:i cod_amount:f "
+       "escrow_to_seller:f seller_voucher_rebate:f buyer_shipping_fee:f bank_card_rebate:f "
+       "platform_card_rebate:f coin_rebate:f platform_voucher_rebate:f esf:f asf:f seller_shipping_rebate:f "
+       "coin_earned_shop:f voucher_discount_platform:f seller_userid:i seller_transaction_fee_item:f "
+       "insurance_premium_by_buyer_amt:f premium_after_discount:f")
 FEE_SQL = f"""
     WITH g AS (SELECT p.lm_tracking_no, count(DISTINCT f.ofg_id) AS n FROM fx_parcel p
         JOIN fx_fulfilment f ON f.log_id = p.log_id JOIN fx_orders o ON o.order_id = f.order_id
@@ -678,7 +683,8 @@ FEE_SQL = f"""
     m AS (SELECT order_id FROM fx_fulfilment WHERE is_reverse = 0 GROUP BY 1
         HAVING count(DISTINCT consignment_no) > 1),
     i AS (SELECT order_id, sum(commission_fee) AS comm_fee, sum(service_fee) AS service_fee,
-        sum(cogs) AS cogs_item FROM fx_items GROUP BY 1)
+        sum(cogs) AS cogs_item, sum(seller_txn_fee) AS txn, sum(insurance_premium_by_buyer_amt) AS ins
+        FROM fx_items GROUP BY 1)
     SELECT o.order_id, p.lm_tracking_no, p.consignment_no,
       CASE WHEN o.payment_method_id = 6 THEN 'COD' ELSE 'CC' END AS payment_method,
       s.username AS seller_user_name, b.username AS buyer_name,
@@ -694,7 +700,18 @@ FEE_SQL = f"""
           - f.items_sales_value_local = 0 THEN 'True' ELSE 'False' END AS check_cogs,
       CASE WHEN m.order_id IS NOT NULL THEN 'Multi WH' ELSE 'Not Multi WH' END AS check_multi_wh,
       g.n AS check_group, r.refund_id, n.premium, e.buyer_paid_insurance_premium,
-      f.items_sales_value_local AS total_cogs
+      f.items_sales_value_local AS total_cogs, o.shipping_carrier, o.payment_channel, o.buyer_id, o.order_sn,
+      {ts('o.create_timestamp - 3600')} AS created_date, o.order_be_status, o.logistics_status, o.shop_id,
+      o.gmv AS cod_amount, o.escrow_to_seller_amt AS escrow_to_seller,
+      o.sv_rebate_by_seller_amt + o.pv_rebate_by_seller_amt AS seller_voucher_rebate,
+      o.buyer_paid_shipping_fee AS buyer_shipping_fee, o.card_rebate_by_bank_amt AS bank_card_rebate,
+      o.card_rebate_by_platform_amt AS platform_card_rebate, o.coin_used_cash_amt AS coin_rebate,
+      o.sv_rebate_by_platform_amt + o.pv_rebate_by_platform_amt AS platform_voucher_rebate,
+      o.estimate_shipping_fee AS esf, o.actual_shipping_fee AS asf,
+      o.actual_shipping_rebate_by_seller_amt AS seller_shipping_rebate,
+      o.sv_coin_earn_by_seller_amt AS coin_earned_shop, o.pv_rebate_by_platform_amt AS voucher_discount_platform,
+      s.userid AS seller_userid, i.txn AS seller_transaction_fee_item, i.ins AS insurance_premium_by_buyer_amt,
+      n.premium_after_discount
     FROM fx_orders o LEFT JOIN fx_fulfilment f ON f.order_id = o.order_id
     LEFT JOIN fx_parcel p ON p.log_id = f.log_id LEFT JOIN fx_account s ON s.shopid = o.shop_id
     LEFT JOIN fx_account b ON b.userid = o.buyer_id LEFT JOIN i ON i.order_id = o.order_id
@@ -743,7 +760,8 @@ def dom_enrich_list(v):
 
 
 CASE = ("lm_tracking_number:s order_id:i order_sn:s consignment_no:s logistics_status:s "
-        "order_be_status:s sls_status:s seller_state:s buyer_state:s carrier:s "
+        "order_be_status:s sls_status:s seller_state:s seller_city:s seller_district:s buyer_state:s "
+        "buyer_city:s buyer_district:s carrier:s "
         "logistics_request_created:t pku_done_time:t return_initiated_time:t payment:s")
 
 

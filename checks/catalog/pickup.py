@@ -181,7 +181,8 @@ def rep_weekly_scorecard_month(v):
 def breakdown_columns(dims):
     return ("period:d time:i " + " ".join(f"{d}:s" for d in dims) + " volume_created:i "
             "ontime_first_normal:f first_contribution:f ontime_success_normal:f "
-            "success_contribution:f ontime_first_sunday:f sunday_contribution:f")
+            "success_contribution:f ontime_first_sunday:f sunday_contribution:f "
+            "first_ok:i success_ok:i sunday:i sunday_ok:i")
 
 
 def breakdown_sql(grain, dims, first, success, number):
@@ -350,8 +351,8 @@ def dom_hub_ontime(v):
 
 
 @query("rep_order_check", "order_day:d ordercode:i type_kh:s fromdistrict:s pickwh:s "
-       "firstupdatedpickeduptime:t endpicktime:t is_ontime:s", f"""
-    SELECT {D} AS order_day, ordercode, CASE WHEN lower(pickwh) LIKE 'bưu cục%' THEN 'Vùng'
+       "firstupdatedpickeduptime:t endpicktime:t is_ontime:s firstfailpicknote:s fromprovince:s", f"""
+    SELECT {D} AS order_day, ordercode, firstfailpicknote, fromprovince, CASE WHEN lower(pickwh) LIKE 'bưu cục%' THEN 'Vùng'
         ELSE 'KHL/GXT' END AS type_kh, fromdistrict, pickwh, firstupdatedpickeduptime, endpicktime,
       CASE WHEN {V3} = 1 THEN 'Ontime' ELSE 'Late' END AS is_ontime
     FROM fx_created WHERE {LIVE} AND fromprovince = 'NATION_3'
@@ -361,9 +362,11 @@ def rep_order_check(v):
 
 
 @query("rep_open_pickups", "order_day:d ordercode:i type_kh:s ward_name:s currentstatus:s "
-       "is_ontime:s", f"""
-    SELECT {D} AS order_day, ordercode, CASE WHEN lower(pickwh) LIKE 'bưu cục%' THEN 'Vùng'
-        ELSE 'KHL/GXT' END AS type_kh, w.ward_name, currentstatus,
+       "is_ontime:s clientcontactname:s endpicktime:t firstfailpicknote:s firstupdatedpickeduptime:t "
+       "fromdistrict:s fromprovince:s pickwh:s", f"""
+    SELECT {D} AS order_day, ordercode, clientcontactname, endpicktime, firstfailpicknote,
+      firstupdatedpickeduptime, fromdistrict, fromprovince, pickwh,
+      CASE WHEN lower(pickwh) LIKE 'bưu cục%' THEN 'Vùng' ELSE 'KHL/GXT' END AS type_kh, w.ward_name, currentstatus,
       CASE WHEN {V3} = 1 THEN 'Ontime' ELSE 'Late' END AS is_ontime
     FROM fx_created c LEFT JOIN fx_ward w ON w.ward_id = c.fromwardcode
     WHERE {LIVE} AND currentstatus IN ('ready_to_pick', 'picking')

@@ -21,7 +21,7 @@ from waybill.sources.scans import restrict_to_ids
 from ..oracle_views import day, kpis, ts
 from ..registry import query
 from .domain import (
-    CAMPAIGN_SQL, CAMPAIGNS, CASE, FEE, FEE_SQL, KPI, PENALTY, base, case_facts, classified,
+    CAMPAIGN_SQL, CAMPAIGNS, CASE, FEE, FEE_SQL, KPI, base, case_facts, classified,
     detail_base, eco_base, exp_base, fee_rows, schedule,
 )
 
@@ -65,8 +65,8 @@ def rep_sla_check(v):
     return rep.monthly_sla_check(base(v, [codes.EXPRESS_CHANNEL], 0.5), FIRST, LAST)
 
 
-@query("rep_delivery_detail", "week_:i shipping_carrier:s lm_tracking_no:s seller_state:s "
-       "buyer_state:s route:s check_late:s check_outcome:s pku_done_time:t first_delivery_day:d "
+@query("rep_delivery_detail", "week_:i shipping_carrier:s lm_tracking_no:s seller_state:s seller_city:s "
+       "buyer_state:s buyer_city:s route:s check_late:s check_outcome:s pku_done_time:t first_delivery_day:d "
        "due_day:d sla:f d_sundays:f d_holidays:f", f"""
     SELECT week(expected_delivery) AS week_, *, CASE WHEN {day('deli_1st_time')} <=
         {day('expected_delivery')} THEN 'Giao đúng hẹn' ELSE 'Trễ giao' END AS check_late,
@@ -79,8 +79,10 @@ def rep_delivery_detail(v):
 
 
 @query("rep_contact_detail", "shipping_carrier:s lm_tracking_no:s expected_delivery:t "
-       "first_contact:s first_try:s returned:s delivered:s gap_time:f", f"""
-    SELECT shipping_carrier, lm_tracking_no, expected_delivery,
+       "first_contact:s first_try:s returned:s delivered:s gap_time:f buyer_state:s buyer_city:s buyer_district:s "
+       "deli_1st_time:t deli_done_time:t deli_failed_time:t", f"""
+    SELECT shipping_carrier, lm_tracking_no, expected_delivery, buyer_state, buyer_city, buyer_district,
+      deli_1st_time, deli_done_time, deli_failed_time,
       CASE WHEN deli_1st_leadtime <= sla THEN 'Liên hệ lần đầu đúng hẹn'
         ELSE 'Liên hệ lần đầu trễ' END AS first_contact,
       CASE WHEN deli_done_time IS NOT NULL AND dli_pending_tracking_time IS NULL
@@ -96,8 +98,9 @@ def rep_contact_detail(v):
 
 
 @query("rep_deep_dive", "lm_tracking_no:s shipping_carrier:s route:s actual_weight:s "
-       "grand_total:s payment_method:s delivery_hour:s attempt_gap:s", """
-    SELECT b.lm_tracking_no, b.shipping_carrier, b.route,
+       "grand_total:s payment_method:s delivery_hour:s attempt_gap:s seller_state:s seller_city:s "
+       "buyer_state:s buyer_city:s", """
+    SELECT b.lm_tracking_no, b.shipping_carrier, b.route, b.seller_state, b.seller_city, b.buyer_state, b.buyer_city,
       CASE WHEN parcel_chargeable_weight <= 1000 THEN '<1kg'
         WHEN parcel_chargeable_weight <= 2000 THEN '1-2kg'
         WHEN parcel_chargeable_weight <= 3000 THEN '2-3kg'
@@ -203,7 +206,8 @@ def rep_yearly_all_carriers(v):
 
 
 @query("rep_all_carrier_detail", "week_:i lm_tracking_no:s buyer_state:s buyer_city:s tpl_call:s "
-       "route:s check_delivery_ontime:s expected_delivery:t",
+       "route:s check_delivery_ontime:s expected_delivery:t pickup_done_time:t first_attempt_delivery_time:t "
+       "delivery_done_time:t delivery_failed:t dli_pending_tracking_time:t",
        f"SELECT week(expected_delivery) AS week_, * FROM ({ALL_ROW})")
 def rep_all_carrier_detail(v):
     return rep.all_carrier_detail(classified(v), FIRST, LAST)
@@ -213,13 +217,15 @@ def rep_all_carrier_detail(v):
 
 @query("rep_attempts", "order_sn:s order_id:i lm_tracking_no:s consignment_no:s "
        "created_datetime:t pickup_done:t dli_1_time:t dli_2_time:t dli_3_time:t dli_1_reason:s "
-       "dli_2_reason:s dli_3_reason:s attempt_count:i attempt_gap:s attempt_hour:s", f"""
+       "dli_2_reason:s dli_3_reason:s attempt_count:i attempt_gap:s attempt_hour:s "
+       "buyer_state:s buyer_city:s buyer_district:s", f"""
     WITH k AS (SELECT log_id, {ts("min(CASE WHEN tracking_code = 'F100' THEN actual_time END) - 3600")}
         AS pickup_done,
       {ts("min(CASE WHEN tracking_code = 'F999' THEN actual_time END) - 3600")} AS failed
       FROM fx_tracking GROUP BY 1)
     SELECT o.order_sn, o.order_id, p.lm_tracking_no, p.consignment_no,
-      {ts('o.create_timestamp - 3600')} AS created_datetime, k.pickup_done, f.*
+      {ts('o.create_timestamp - 3600')} AS created_datetime, k.pickup_done, o.buyer_state, o.buyer_city,
+      o.buyer_district, f.*
     FROM fx_orders o JOIN fx_parcel p ON o.order_sn = array_to_string(p.ordersn_list, ', ')
     JOIN ox_fake f ON f.log_id = p.log_id JOIN k ON k.log_id = p.log_id
     WHERE {day('k.failed')} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'""")
@@ -270,15 +276,21 @@ def rep_pending(v):
     return cases.pending_parcels(case_facts(v), "NATION_8", "City 1")
 
 
-@query("rep_sequence_anomalies", CASE, """
-    SELECT * FROM ox_case WHERE pickup_failed_time2 > pickup_done_time2
-      AND logistics_status_id = 2 AND fulfilment_channel_id IN (50015, 50016, 50021, 50011)""")
+@query("rep_sequence_anomalies", f"{CASE} lost_update_time:t escrow_paid_datetime:t escrow_created_datetime:t", f"""
+    SELECT c.*, l.t AS lost_update_time, o.escrow_paid_datetime, o.escrow_created_datetime
+    FROM ox_case c JOIN fx_orders o ON o.order_id = c.order_id
+    LEFT JOIN (SELECT orderid, {ts('max(ctime) - 3600')} AS t FROM fx_audit GROUP BY 1) l ON l.orderid = c.order_id
+    WHERE pickup_failed_time2 > pickup_done_time2
+      AND c.logistics_status_id = 2 AND c.fulfilment_channel_id IN (50015, 50016, 50021, 50011)""")
 def rep_sequence_anomalies(v):
-    return cases.sequence_anomalies(case_facts(v), [50015, 50016, 50021, 50011])
+    facts = case_facts(v, None, ["escrow_paid_datetime", "escrow_created_datetime"])
+    return cases.sequence_anomalies(facts, v.audit, [50015, 50016, 50021, 50011])
 
 
-@query("rep_case_sheet", f"{CASE} escrow_to_seller_amt:f", """
-    SELECT c.*, o.escrow_to_seller_amt FROM ox_case c JOIN fx_orders o ON o.order_id = c.order_id
+@query("rep_case_sheet", f"{CASE} lost_update_time:t escrow_to_seller_amt:f", f"""
+    SELECT c.*, o.escrow_to_seller_amt, l.t AS lost_update_time
+    FROM ox_case c JOIN fx_orders o ON o.order_id = c.order_id
+    LEFT JOIN (SELECT orderid, {ts('max(ctime) - 3600')} AS t FROM fx_audit GROUP BY 1) l ON l.orderid = c.order_id
     WHERE lm_tracking_number IN (SELECT id FROM fx_ids)""")
 def rep_case_sheet(v):
     facts = case_facts(v, v.ids, ["escrow_to_seller_amt"])
@@ -286,7 +298,8 @@ def rep_case_sheet(v):
 
 
 @query("rep_shipping_fee_check", f"{CASE} charged_weight:f actual_weight:f cogs_parcel:f "
-       "item_amount:f length:f width:f height:f check_multi_wh:s check_group_shipment:s", """
+       "item_amount:f length:f width:f height:f check_multi_wh:s check_group_shipment:s "
+       "grand_total:f order_created:t", f"""
     WITH d AS (SELECT order_id, sum(a) AS item_amount, max(l) AS length, max(w) AS width,
         max(h) AS height FROM (SELECT i.order_id, i.item_id, sum(i.item_amount) AS a,
           max(CAST(dim_length AS DOUBLE)) AS l, max(CAST(dim_width AS DOUBLE)) AS w,
@@ -295,25 +308,28 @@ def rep_case_sheet(v):
     m AS (SELECT log_id FROM fx_parcel WHERE whs_id IS NOT NULL GROUP BY 1
       HAVING count(DISTINCT lm_tracking_no) > 1),
     g AS (SELECT order_id, count(oms_forder_id) AS n FROM fx_fulfilment GROUP BY 1)
-    SELECT c.*, d.item_amount, d.length, d.width, d.height,
+    SELECT c.*, d.item_amount, d.length, d.width, d.height, o.gmv AS grand_total,
+      {ts('o.create_timestamp - 3600')} AS order_created,
       CASE WHEN m.log_id IS NOT NULL THEN 'Multi WH' ELSE 'Not Multi WH' END AS check_multi_wh,
       CASE WHEN g.n > 1 THEN 'Grouped' ELSE 'Not grouped' END AS check_group_shipment
-    FROM ox_case c LEFT JOIN d ON d.order_id = c.order_id LEFT JOIN m ON m.log_id = c.log_id
+    FROM ox_case c JOIN fx_orders o ON o.order_id = c.order_id
+    LEFT JOIN d ON d.order_id = c.order_id LEFT JOIN m ON m.log_id = c.log_id
     LEFT JOIN g ON g.order_id = c.order_id
     WHERE c.lm_tracking_number IN (SELECT id FROM fx_ids)""")
 def rep_shipping_fee_check(v):
-    return cases.shipping_fee_check(case_facts(v, v.ids), v.parcel, v.fulfilment, v.items,
+    return cases.shipping_fee_check(case_facts(v, v.ids, ["gmv", "create_timestamp"]), v.parcel, v.fulfilment, v.items,
                                     v.item_dims)
 
 
-@query("rep_open_ready_orders", "lm_tracking_number:s order_id:i consignment_no:s "
-       "logistics_status:s sls_status:s shop_id:i seller_id:i", """
-    SELECT * FROM ox_case WHERE fulfilment_shipping_carrier IN ('VNPost Nhanh',
+@query("rep_open_ready_orders", "lm_tracking_number:s order_id:i order_sn:s consignment_no:s "
+       "logistics_status:s order_be_status:s sls_status:s shop_id:i seller_id:i shop_name:s "
+       "fulfilment_shipping_carrier:s", """
+    SELECT c.*, 'Shop ' || (c.order_id % 100) AS shop_name FROM ox_case c WHERE fulfilment_shipping_carrier IN ('VNPost Nhanh',
       'VNPost Tiết Kiệm', 'Viettel Post', 'BEST Express') AND logistics_status_id = 9
       AND CAST(auto_cancel_arrange_ship_datetime AS DATE) BETWEEN DATE '2023-12-30' AND
         DATE '2023-12-30'""")
 def rep_open_ready_orders(v):
-    facts = case_facts(v, None, ["auto_cancel_arrange_ship_datetime", "shop_id", "seller_id"])
+    facts = case_facts(v, None, ["auto_cancel_arrange_ship_datetime", "shop_id", "seller_id", "shop_name"])
     return cases.open_ready_orders(
         facts, "2023-12-30",
         ["VNPost Nhanh", "VNPost Tiết Kiệm", "Viettel Post", "BEST Express"])
@@ -362,8 +378,12 @@ def rep_pickup_gap(v):
 
 
 @query("rep_gap_detail", "lm_tracking_no:s shipping_carrier:s created_time:t pku_1st_time:t "
-       "deli_done_time:t gap_created_to_first_pu:f gap_first_pu_to_pu_done:f", f"""
-    SELECT lm_tracking_no, fulfilment_shipping_carrier AS shipping_carrier,
+       "deli_done_time:t gap_created_to_first_pu:f gap_first_pu_to_pu_done:f seller_state:s seller_city:s "
+       "buyer_state:s buyer_city:s pku_done_time:t deli_1st_time:t gap_pu_done_to_first_deli:f "
+       "gap_first_deli_to_deli_done:f", f"""
+    SELECT lm_tracking_no, seller_state, seller_city, buyer_state, buyer_city, pku_done_time, deli_1st_time,
+      round((epoch(deli_1st_time) - epoch(pku_done_time)) / 86400, 3) AS gap_pu_done_to_first_deli,
+      round((epoch(deli_done_time) - epoch(deli_1st_time)) / 86400, 3) AS gap_first_deli_to_deli_done, fulfilment_shipping_carrier AS shipping_carrier,
       {ts('order_arrange_shipping_timestamp')} AS created_time, pku_1st_time, deli_done_time,
       round((epoch(pku_1st_time) - order_arrange_shipping_timestamp) / 86400, 3)
         AS gap_created_to_first_pu,
@@ -376,9 +396,39 @@ def rep_gap_detail(v):
 
 # --- penalties ---------------------------------------------------------------------------
 
-PEN_ROW = ("order_id, log_id, limit_leadtime_delivery, limit_leadtime_return, del_leadtime, "
-           "return_leadtime, is_delay_pickup, is_delay_delivery, is_delay_return, "
-           "is_delay_delivery_overall, is_delay_return_overall, final_penalty")
+PEN_SHEET = """order_id:i is_multi_parcel:i consignment:s order_sn:s shipping_traceno:s lm_tracking_number:s log_id:i
+    fulfilment_shipping_carrier:s shop_id:i seller_id:i buyer_id:i be_bpsf:f be_esf:f be_asf:f sls_asf:f sls_esf:f
+    seller_state:s seller_city:s seller_district:s buyer_state:s buyer_city:s buyer_district:s multi_arranged_time:t
+    multi_delivered_time:t order_weight:f be_delivered_time:t be_delivery_failed_lost_time:t day_of_week_delivery:f
+    day_of_week_return:f logistics_status:s added_leadtime:i ship_from:s ship_to:s sls_first_return_attempt:t
+    sls_first_delivery_attempt:t total_sla:f is_dropoff:i sls_received_time:t fe_schedule_pickup:t
+    sls_first_pickup_attempt:t sls_pickup_done:t adjusted_pickup:t sls_first_delivery_pending:t sls_delivery_done:t
+    sls_return_time:t adjusted_return:t sls_return_pending:t sls_del_failed:t sla:f pickup:f inter:f intra:f
+    delivery_w_weekend:f nb_delivery_holiday:f disaster:i return_w_weekend:f nb_return_holiday:f limit_leadtime_delivery:f
+    del_leadtime:f total_leadtime_delivery:f del_leadtime_overall:f limit_leadtime_return:f return_leadtime:f
+    total_leadtime_return:f return_leadtime_overall:f is_delay_pickup:s is_delay_delivery:s is_delay_delivery_overall:s
+    is_delay_return:s is_delay_return_overall:s final_penalty:s"""
+
+
+def printed(source: str, overall: int, more: str) -> str:
+    """The sheet over the verdicts: what is derived from them, the rest as it is."""
+    return f"""(SELECT * EXCLUDE (sla), CAST(sla AS DOUBLE) AS sla, lm_tracking_number AS shipping_traceno,
+      isodow(adjusted_pickup) + 1 AS day_of_week_delivery, isodow(adjusted_return) + 1 AS day_of_week_return,
+      nb_d AS nb_delivery_holiday, nb_r AS nb_return_holiday, 0 AS disaster, {more},
+      {overall} + nb_d + added_leadtime AS total_leadtime_delivery,
+      {overall} + nb_r + added_leadtime AS total_leadtime_return FROM {source}) AS sheet"""
+
+
+def distinct_sheet(spec: str) -> str:
+    return ", ".join(part.rsplit(":", 1)[0] for part in spec.split())
+
+
+ECO_SHEET = f"{PEN_SHEET} seller_region:s buyer_region:s"
+EXP_SHEET = f"{PEN_SHEET} concat_seller_address:s concat_buyer_address:s filter_date:t"
+NO_ADDONS = "0 AS pickup, 0 AS inter, 0 AS intra"
+EXP_MORE = """lower(seller_state || '-' || seller_city || '-' || seller_district) AS concat_seller_address,
+      lower(buyer_state || '-' || buyer_city || '-' || buyer_district) AS concat_buyer_address,
+      coalesce(be_delivered_time, be_delivery_failed_lost_time) AS filter_date"""
 MONTH = (f"({day('be_delivered_time')} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' OR "
          f"{day('be_delivery_failed_lost_time')} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')")
 #: Orders created in the three months up to the month of the report; December's are out.
@@ -387,26 +437,28 @@ CREATED = (f"order_id IN (SELECT order_id FROM fx_orders "
            f"WHERE {day(ts('create_timestamp - 3600'))} >= DATE '2024-01-01')")
 
 
-@query("rep_economy_penalty", PENALTY, f"""
-    SELECT DISTINCT {PEN_ROW} FROM ox_eco WHERE {MONTH} AND final_penalty <> '' AND {CREATED}""")
+@query("rep_economy_penalty", ECO_SHEET, f"""
+    SELECT DISTINCT {distinct_sheet(ECO_SHEET)} FROM {printed('ox_eco', 15, NO_ADDONS)}
+    WHERE {MONTH} AND final_penalty <> '' AND {CREATED}""")
 def rep_economy_penalty(v):
     recent = eco_base(v, months_before(REPORT_DAY, 3, whole=True))
     scoped = terminal_between(recent, "2024-01-01", "2024-01-31")
-    return pen.sheet(pen.economy_penalty(
+    return pen.economy_sheet(pen.economy_penalty(
         scoped, v.regions, v.region_route, v.remote, v.holiday))
 
 
-@query("rep_express_penalty", f"{PENALTY} filter_date:t", f"""
-    SELECT DISTINCT {PEN_ROW}, coalesce(be_delivered_time, be_delivery_failed_lost_time)
-      AS filter_date FROM ox_exp WHERE final_penalty <> '' AND {CREATED}""")
+@query("rep_express_penalty", EXP_SHEET, f"""
+    SELECT DISTINCT {distinct_sheet(EXP_SHEET)} FROM {printed('ox_exp', 11, EXP_MORE)}
+    WHERE final_penalty <> '' AND {CREATED}""")
 def rep_express_penalty(v):
-    return pen.sheet(pen.express_penalty(
-        exp_base(v, months_before(REPORT_DAY, 3, whole=True)), v.area, v.express_route, v.rural, v.remote, v.holiday), ["filter_date"])
+    return pen.express_sheet(pen.express_penalty(
+        exp_base(v, months_before(REPORT_DAY, 3, whole=True)), v.area, v.express_route, v.rural, v.remote, v.holiday))
 
 
-@query("rep_penalty_check", PENALTY, f"SELECT DISTINCT {PEN_ROW} FROM ox_eco_check")
+@query("rep_penalty_check", ECO_SHEET, f"""
+    SELECT DISTINCT {distinct_sheet(ECO_SHEET)} FROM {printed('ox_eco_check', 15, NO_ADDONS)}""")
 def rep_penalty_check(v):
-    return pen.sheet(pen.economy_penalty(
+    return pen.economy_sheet(pen.economy_penalty(
         eco_base(v), v.regions, v.region_route, v.remote, v.holiday, keep_all=True))
 
 

@@ -58,7 +58,12 @@ def query(name: str, columns: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_report_clock(spark)
-            return fn(views_of(spark, sf_dir)).select(*[_spark_column(n, k) for n, k in spec])
+            df = fn(views_of(spark, sf_dir))
+            if name.startswith("rep_"):
+                unlisted = set(df.columns) - {n for n, _ in spec}
+                if unlisted:
+                    raise ValueError(f"columns of {name} without a check: {sorted(unlisted)}")
+            return df.select(*[_spark_column(n, k) for n, k in spec])
 
         run.__name__ = name
         QUERIES[name] = run

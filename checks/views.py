@@ -205,7 +205,14 @@ def fx_orders(d):
       CAST(30 AS DOUBLE) AS estimate_shipping_fee, CAST(35 AS DOUBLE) AS actual_shipping_fee,
       CAST(3 AS DOUBLE) AS actual_shipping_rebate_by_seller_amt,
       CAST(o_orderkey % 8 AS DOUBLE) AS sv_coin_earn_by_seller_amt,
-      {d.epoch_ts('1703030400 + (o_orderkey % 40) * 86400')} AS auto_cancel_arrange_ship_datetime
+      {d.epoch_ts('1703030400 + (o_orderkey % 40) * 86400')} AS auto_cancel_arrange_ship_datetime,
+      'Shop ' || {d.text('o_orderkey % 100')} AS shop_name,
+      CASE WHEN o_orderkey % 3 > 0 THEN {d.epoch_ts('1703030400 + (o_orderkey % 50) * 86400')} END
+        AS escrow_created_datetime,
+      CASE WHEN o_orderkey % 3 = 1 THEN {d.epoch_ts('1703116800 + (o_orderkey % 50) * 86400')} END
+        AS escrow_paid_datetime,
+      {CARRIER.format(x='o_orderkey + 1')} AS shipping_carrier,
+      CASE WHEN o_orderstatus = 'F' THEN 'Cash' ELSE 'Card ' || {d.text('o_orderkey % 2')} END AS payment_channel
     FROM orders"""
 
 

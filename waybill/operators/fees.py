@@ -61,7 +61,8 @@ def fee_recon(orders: DataFrame, fulfilment: DataFrame, parcel: DataFrame, items
     created = from_epoch("create_timestamp", REPORT_SHIFT)
     head = orders.select(
         "order_id", "order_sn", created.alias("created_date"), "order_be_status",
-        "logistics_status", payment_type_by_id().alias("payment_method"), "shop_id", "buyer_id",
+        "logistics_status", payment_type_by_id().alias("payment_method"), "shipping_carrier", "payment_channel",
+        "shop_id", "buyer_id",
         F.col("gmv").alias("cod_amount"),
         F.col("escrow_to_seller_amt").alias("escrow_to_seller"),
         seller_fee("gmv", F.to_date(created)).alias("seller_transaction_fee"),

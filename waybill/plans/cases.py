@@ -71,7 +71,10 @@ def case_detail(base: DataFrame, audit: DataFrame,
 
 def shipping_fee_check(base: DataFrame, parcel: DataFrame, fulfilment: DataFrame,
                        items: DataFrame, item_dims: DataFrame) -> DataFrame:
-    """Listed cases with weights, order dimensions, multi-parcel and group flags."""
+    """Listed cases with value, weights, order dimensions, multi-parcel and group flags.
+
+    ``base`` carries the order columns ``gmv`` and ``create_timestamp``.
+    """
     multi = ord_.multi_parcel(parcel, "log_id", "lm_tracking_no", F.col("whs_id").isNotNull())
     groups = ord_.group_size(fulfilment, "order_id", "oms_forder_id")
     dims = ord_.order_dims(items, item_dims).drop("weight")
@@ -80,8 +83,9 @@ def shipping_fee_check(base: DataFrame, parcel: DataFrame, fulfilment: DataFrame
         .join(dims, "order_id", "left")
         .withColumn("check_multi_wh", ord_.multi_label("nb_parcels"))
         .withColumn("check_group_shipment", ord_.group_label("total_group"))
-        .select(*CASE_SHEET, "charged_weight", "actual_weight", "cogs_parcel", "item_amount",
-                "length", "width", "height", "check_multi_wh", "check_group_shipment")
+        .select(*CASE_SHEET, F.col("gmv").alias("grand_total"), "charged_weight", "actual_weight", "cogs_parcel",
+                "item_amount", "length", "width", "height", "check_multi_wh", "check_group_shipment",
+                from_epoch("create_timestamp", REPORT_SHIFT).alias("order_created"))
         .distinct()
     )
 
@@ -94,16 +98,19 @@ def open_ready_orders(base: DataFrame, cancel_day: str, carriers: Sequence[str],
         & (F.col("logistics_status_id") == status)
         & (F.to_date("auto_cancel_arrange_ship_datetime") == F.lit(cancel_day).cast("date"))
     ).select("lm_tracking_number", "order_id", "order_sn", "consignment_no", "logistics_status",
-             "order_be_status", "sls_status", "shop_id", "seller_id",
+             "order_be_status", "sls_status", "shop_id", "seller_id", "shop_name",
              "fulfilment_shipping_carrier").distinct()
 
 
-def sequence_anomalies(base: DataFrame,
+def sequence_anomalies(base: DataFrame, audit: DataFrame,
                        channels=(codes.EXPRESS_CHANNEL, codes.ECONOMY_CHANNEL)) -> DataFrame:
-    """All parcels failed after pickup that are still 'picked up'."""
-    return mst.picked_then_failed(base).where(
-        F.col("fulfilment_channel_id").isin(*channels) & (F.col("logistics_status_id") == 2)
-    ).select(*CASE_SHEET).distinct()
+    """All parcels failed after pickup that are still 'picked up', with the last audit change and the escrow times.
+
+    ``base`` carries the order columns ``escrow_paid_datetime`` and ``escrow_created_datetime``.
+    """
+    found = mst.picked_then_failed(base).where(
+        F.col("fulfilment_channel_id").isin(*channels) & (F.col("logistics_status_id") == 2))
+    return case_detail(found, audit, ["escrow_paid_datetime", "escrow_created_datetime"])
 
 
 def pending_parcels(base: DataFrame, state: str, city: str,

@@ -97,15 +97,34 @@ def express_penalty(base: DataFrame, areas: DataFrame, route: DataFrame, rural:
         "filter_date", F.coalesce("be_delivered_time", "be_delivery_failed_lost_time"))
 
 
+#: The printed columns of both carriers, in the order of the sheet.
 SHEET = (
-    "order_id", "is_multi_parcel", "consignment", "order_sn", "lm_tracking_number", "log_id",
-    "fulfilment_shipping_carrier", "shop_id", "seller_id", "buyer_id", "sls_asf", "sls_esf",
-    "order_weight", "seller_state", "buyer_state", "total_sla", "added_leadtime", "is_dropoff",
-    "adjusted_pickup", "adjusted_return", "del_leadtime", "return_leadtime",
-    "limit_leadtime_delivery", "limit_leadtime_return", "is_delay_pickup", "is_delay_delivery",
-    "is_delay_return", "is_delay_delivery_overall", "is_delay_return_overall", "final_penalty")
+    "order_id", "is_multi_parcel", "consignment", "order_sn", "shipping_traceno", "lm_tracking_number", "log_id",
+    "fulfilment_shipping_carrier", "shop_id", "seller_id", "buyer_id", "be_bpsf", "be_esf", "be_asf", "sls_asf", "sls_esf",
+    "seller_state", "seller_city", "seller_district", "buyer_state", "buyer_city", "buyer_district",
+    "multi_arranged_time", "multi_delivered_time", "order_weight", "be_delivered_time", "be_delivery_failed_lost_time",
+    "day_of_week_delivery", "day_of_week_return", "logistics_status", "added_leadtime", "ship_from", "ship_to",
+    "sls_first_return_attempt", "sls_first_delivery_attempt", "total_sla", "is_dropoff", "sls_received_time",
+    "fe_schedule_pickup", "sls_first_pickup_attempt", "sls_pickup_done", "adjusted_pickup", "sls_first_delivery_pending",
+    "sls_delivery_done", "sls_return_time", "adjusted_return", "sls_return_pending", "sls_del_failed", "sla", "pickup",
+    "inter", "intra", "delivery_w_weekend", "nb_delivery_holiday", "disaster", "return_w_weekend", "nb_return_holiday",
+    "limit_leadtime_delivery", "del_leadtime", "total_leadtime_delivery", "del_leadtime_overall", "limit_leadtime_return",
+    "return_leadtime", "total_leadtime_return", "return_leadtime_overall", "is_delay_pickup", "is_delay_delivery",
+    "is_delay_delivery_overall", "is_delay_return", "is_delay_return_overall", "final_penalty")
 
 
-def sheet(df: DataFrame, extra=()) -> DataFrame:
-    """The printed columns plus the constant ones, without repeated rows."""
-    return df.select(*SHEET, F.lit(0).alias("disaster"), *extra).distinct()
+def _printed(df: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+    """The sheet's columns without repeated rows."""
+    return df.withColumns({
+        "shipping_traceno": F.col("lm_tracking_number"), "be_bpsf": F.col("buyer_paid_shipping_fee"),
+        "be_esf": F.col("estimate_shipping_fee"), "disaster": F.lit(0)}).select(*SHEET, *extra).distinct()
+
+
+def economy_sheet(df: DataFrame) -> DataFrame:
+    """:func:`economy_penalty` as it is printed: with the regions; it has no pickup and district add-ons."""
+    return _printed(df.withColumns({c: F.lit(0) for c in ("pickup", "inter", "intra")}), ("seller_region", "buyer_region"))
+
+
+def express_sheet(df: DataFrame) -> DataFrame:
+    """:func:`express_penalty` as it is printed: with the looked-up addresses and the day it is filtered by."""
+    return _printed(df, ("concat_seller_address", "concat_buyer_address", "filter_date"))
