@@ -35,6 +35,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="waybill-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
             base = spark.sparkContext.getCheckpointDir()
