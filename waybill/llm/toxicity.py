@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,24 +55,26 @@ class Slots:
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Per word: log-likelihood under the toxic model minus that under the ordinary one."""
-        n, mask = self.order, self.slots - 1
+        n, mask, crc = self.order, self.slots - 1, zlib.crc32
         gram: list[int] = []
         context: list[int] = []
         lows: list[list[int]] = [[] for _ in range(1, n)]
         contexts: list[list[int]] = [[] for _ in range(1, n)]
+        starts = [crc(START.encode() * k) for k in range(n)]
         sizes = []
-        crc = zlib.crc32
         for word in words:
-            chars = framed(word.decode("utf-8", "replace"), n)
-            sizes.append(len(chars) - n + 1)
-            for i in range(len(chars) - n + 1):
-                g = chars[i: i + n]
-                gram.append(crc(g.encode()))
-                context.append(crc(g[:-1].encode()))
-                for k in range(1, n):
-                    part = g[n - k:]
-                    lows[k - 1].append(crc(part.encode()))
-                    contexts[k - 1].append(crc(part[:-1].encode()))
+            text = framed(word.decode("utf-8", "replace"), n)
+            raw, m = text.encode(), len(text) - n + 1
+            at = range(len(text) + 1) if len(raw) == len(text) else [0, *accumulate(len(c.encode()) for c in text)]
+            sizes.append(m)
+            shorter = [0] * m  # checksums of the (k - 1)-grams that end at each place
+            for k in range(1, n + 1):
+                found = [crc(raw[at[i - k]: at[i]]) for i in range(n, n + m)]
+                # the context of a k-gram is the (k - 1)-gram that ends one place before
+                before = [starts[k - 1], *shorter[:-1]] if k > 1 else shorter
+                (lows[k - 1] if k < n else gram).extend(found)
+                (contexts[k - 1] if k < n else context).extend(before)
+                shorter = found
         if not gram:
             return np.zeros(len(words))
         p = np.full(len(gram), 1e-4)
