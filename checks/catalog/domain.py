@@ -15,6 +15,7 @@ from waybill.operators import milestones as mst
 from waybill.operators import orders as ord_
 from waybill.operators import parcel_state as pst
 from waybill.operators import sla as sl
+from waybill.operators.holidays import holidays_by_totals
 from waybill.operators.pickup import pickup_kpis
 from waybill.plans import cases
 from waybill.plans import delivery as rep
@@ -446,6 +447,20 @@ def dom_holidays_sum(v):
                            t.day("deli_1st_time"), mode="sum")
 
 
+@query("dom_holidays_totals", "log_id:i delivery:f back:f", f"""
+    SELECT p.log_id, coalesce(sum(h.nb) FILTER (h.type = 'delivery' AND h.d BETWEEN {day('m.pku_done_time')}
+        AND {day('m.deli_1st_time')}), 0) AS delivery,
+      coalesce(sum(h.nb) FILTER (h.type = 'return' AND h.d BETWEEN {day('m.pku_done_time')}
+        AND {day('m.pku_done_time')} + 15), 0) AS back
+    FROM fx_parcel p LEFT JOIN ox_ms m ON m.log_id = p.log_id
+    LEFT JOIN ox_holiday h ON h.carrier = lower(p.lm_shipment_company) GROUP BY 1""")
+def dom_holidays_totals(v):
+    facts = v.parcel.join(mst.milestones(v.tracking, mst.DELIVERY), "log_id", "left")
+    return holidays_by_totals(facts, v.holiday, "lm_shipment_company", {
+        "delivery": ("delivery", F.col("pku_done_time"), t.day("deli_1st_time")),
+        "back": ("return", F.col("pku_done_time"), F.date_add(t.day("pku_done_time"), 15))}, "sum")
+
+
 @query("dom_due_date", "lm_tracking_no:s expected_delivery:t", "SELECT * FROM ox_base")
 def dom_due_date(v):
     return base(v)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from waybill.functions.times import iso_week
-from waybill.operators import attempts, delivery, lookups, milestones, pickup
+from waybill.functions.times import iso_week, period_start
+from waybill.operators import attempts, bitmaps, delivery, lookups, milestones, pickup
 from waybill.operators import orders as ord_
+from waybill.operators.holidays import holidays_by_totals
 from waybill.operators.sla import holiday_days, route_lookup, sla_region
 from waybill.sources import scans
 
@@ -90,6 +92,18 @@ def join_interval(v):
                         output="nb", mode="sum")
 
 
+@query("join_range_numbered", "log_id:i nb:i", f"""
+    SELECT DISTINCT p.log_id, coalesce(h.nb, 0) AS nb FROM fx_parcel p
+    LEFT JOIN {HOLIDAY_SQL} h ON lower(h.shipping_carrier) = lower(p.lm_shipment_company)
+      AND h.type = 'return' AND h.d BETWEEN CAST(make_timestamp(p.first_time * 1000000) AS DATE)
+        AND CAST(make_timestamp(p.first_time * 1000000) AS DATE) + CAST(p.log_id % 40 AS INTEGER)""")
+def join_range_numbered(v):
+    """A range join as two lookups of running totals and one of entry numbers."""
+    p = v.parcel.withColumn("a", F.timestamp_seconds("first_time"))
+    end = F.date_add(F.to_date("a"), (F.col("log_id") % 40).cast("int"))
+    return holidays_by_totals(p, v.holiday, "lm_shipment_company", {"nb": ("return", F.col("a"), end)}, "rows")
+
+
 @query("join_on_constant", "order_id:i added:s", """
     SELECT o.order_id, r.added_leadtime AS added FROM fx_orders o LEFT JOIN fx_remote r
       ON r.buyer_address = lower(o.buyer_state || '-' || o.buyer_city)
@@ -228,6 +242,22 @@ def agg_count_distinct(v):
     return v.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("orders"))
 
 
+@query("agg_distinct_bitmaps", "grain:s since:d orders:i returned:i", """
+    SELECT g AS grain, CASE WHEN g <> 'total' THEN CAST(date_trunc(replace(g, 'total', 'year'), l_shipdate) AS DATE) END AS since,
+      count(DISTINCT l_orderkey) AS orders, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS returned
+    FROM lineitem CROSS JOIN (VALUES ('day'), ('week'), ('month'), ('total')) t(g) GROUP BY 1, 2""")
+def agg_distinct_bitmaps(v):
+    """Distinct orders at four grains out of one table of daily bitmaps."""
+    flags = {"orders": F.lit(True), "returned": F.col("l_returnflag") == "R"}
+    lines = v.lineitem.withColumn("ship_day", F.to_date("l_shipdate"))
+    numbers = bitmaps.order_numbers(lines, "l_orderkey", "ship_day")
+    daily = bitmaps.daily_bitmaps(lines, numbers, "l_orderkey", ["ship_day"], flags)
+    views = [bitmaps.distinct_counts(daily, {"grain": F.lit(g), "since": period_start("ship_day", g)}, list(flags))
+             for g in ("day", "week", "month")]
+    total = bitmaps.distinct_counts(daily, {"grain": F.lit("total"), "since": F.lit(None).cast("date")}, list(flags))
+    return functools.reduce(DataFrame.unionByName, [*views, total])
+
+
 @query("agg_count_distinct_if", "time:i volume:i ontime:i", """
     SELECT month(orderdate) AS time, count(DISTINCT ordercode) AS volume, count(DISTINCT CASE
         WHEN CAST(coalesce(firstupdatedpickeduptime, endpicktime, TIMESTAMP '2024-01-31') AS DATE)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from waybill.functions import codes
+from waybill.operators import bitmaps
 from waybill.operators import pickup as pu
 from waybill.plans import pickup as rep
 from waybill.sources import scans
@@ -178,6 +179,42 @@ def rep_weekly_scorecard_month(v):
                                dt.date(2024, 1, 8))
 
 
+def distinct_sql(grain, number):
+    """Distinct orders on both sides; every seventh order also has a row twenty days earlier, over the year's end."""
+    def orders(flag):
+        return f"count(DISTINCT CASE WHEN {flag} THEN ordercode END)"
+    live = f"{LIVE} AND {D} BETWEEN DATE '2023-12-05' AND DATE '2024-01-30'"
+    judged = f"{SCOPE} AND {JUDGED} AND {D} BETWEEN DATE '2023-12-18' AND DATE '2024-01-30'"
+    sunday = f"{live} AND isodow(orderdate) = 7"
+    return f"""
+    WITH r AS (SELECT * FROM fx_created UNION ALL
+      SELECT * REPLACE (orderdate - INTERVAL 20 DAY AS orderdate) FROM fx_created WHERE ordercode % 7 = 0)
+    SELECT {start(grain)} AS period, {number}({start(grain)}) AS time, {orders(live)} AS total_orders,
+      round({orders(f"{live} AND {V4} = 1")} / {orders(live)}, 4) AS ontime_first,
+      round({orders(f"{judged} AND {PEN_DAY} = 1")} / nullif({orders(judged)}, 0), 4) AS ontime_penalty,
+      round({orders(f"{live} AND {within(EP)} = 1")} / {orders(live)}, 4) AS ontime_success,
+      round({orders(f"{live} AND {PICKED} = 1")} / {orders(live)}, 4) AS success,
+      round({orders(f"{sunday} AND {V4} = 1")} / nullif({orders(sunday)}, 0), 4) AS ontime_sunday
+    FROM r GROUP BY 1, 2 HAVING {orders(live)} > 0"""
+
+
+def distinct_bitmaps(v):
+    again = v.created.where("ordercode % 7 = 0").withColumn("orderdate", F.col("orderdate") - F.expr("INTERVAL 20 DAYS"))
+    orders = v.created.unionByName(again)
+    numbers = bitmaps.order_numbers(orders.withColumn("order_day", F.to_date("orderdate")), "ordercode", "order_day")
+    return pu.order_bitmaps(orders, numbers, AS_OF, EVENT_DAYS, dt.date(2023, 12, 5), dt.date(2023, 12, 18))
+
+
+@query("rep_distinct_scorecard", WEEKLY, distinct_sql("week", "week"))
+def rep_distinct_scorecard(v):
+    return pu.distinct_scorecard(distinct_bitmaps(v), "week")
+
+
+@query("rep_distinct_scorecard_month", WEEKLY, distinct_sql("month", "month"))
+def rep_distinct_scorecard_month(v):
+    return pu.distinct_scorecard(distinct_bitmaps(v), "month")
+
+
 def breakdown_columns(dims):
     return ("period:d time:i " + " ".join(f"{d}:s" for d in dims) + " volume_created:i "
             "ontime_first_normal:f first_contribution:f ontime_success_normal:f "

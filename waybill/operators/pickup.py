@@ -19,6 +19,7 @@ from ..functions.classify import shipment_type, shipment_type_inbound
 from ..functions.times import (
     day, elapsed, from_epoch, is_set, is_unset, iso_dow, period_number, period_start,
 )
+from .bitmaps import CELL, daily_bitmaps, distinct_counts
 from .delivery import percentile
 
 CUTOFF_HOUR = 18
@@ -292,15 +293,9 @@ def scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequence[st
     )
 
 
-def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequence[str],
-                     first: dt.date, penalty_first: dt.date,
-                     client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
-    """Rates per period without the 18:00 rule, on distinct orders.
-
-    Copies of an order count once in the volumes and as often as they occur in
-    the on-time sums; both are taken after one aggregate per order, so no
-    distinct set is ever built for a whole period.
-    """
+def _weekly_rules(df: DataFrame, as_of: dt.date, grace_days: Sequence[str], first: dt.date, penalty_first: dt.date,
+                  client: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Orders in scope and the conditions that the scorecards without the 18:00 rule count."""
     last = as_of - dt.timedelta(days=1)
     scoped = in_scope(df, min(first, penalty_first), last, client)
     grace = on_event_day(grace_days)
@@ -308,7 +303,7 @@ def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequ
     live = (F.col("currentstatus") != "cancel") & (order_day >= F.lit(first))
     judged = not_cancelled_same_day() & (order_day >= F.lit(penalty_first))
     sunday = live & (iso_dow("orderdate") == 7)
-    counted = {
+    return scoped, {
         "live": live, "first_ok": live & (ontime_first_v4() == 1),
         "success_ok": live & (ontime_success_same_day() == 1),
         "picked": live & (picked() == 1),
@@ -316,11 +311,44 @@ def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequ
         "penalty_ok": judged & (ontime_first_v1(as_of, grace, cutoff=False) == 1),
         "sunday": sunday, "sunday_ok": sunday & (ontime_first_v4() == 1),
     }
+
+
+def weekly_scorecard(df: DataFrame, grain: str, as_of: dt.date, grace_days: Sequence[str],
+                     first: dt.date, penalty_first: dt.date,
+                     client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
+    """Rates per period without the 18:00 rule, on distinct orders.
+
+    Copies of an order count once in the volumes and as often as they occur in
+    the on-time sums; both are taken after one aggregate per order, so no
+    distinct set is ever built for a whole period.
+    """
+    scoped, counted = _weekly_rules(df, as_of, grace_days, first, penalty_first, client)
     per_order = scoped.groupBy(period_start("orderdate", grain).alias("period"), "ordercode").agg(
         *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in counted.items()])
     once = {"live", "judged", "sunday"}
     table = per_order.groupBy("period").agg(*[
         F.sum((F.col(n) > 0).cast("int") if n in once else F.col(n)).alias(n) for n in counted])
+    return _weekly_table(table, grain)
+
+
+def order_bitmaps(df: DataFrame, numbers: DataFrame, as_of: dt.date, grace_days: Sequence[str], first: dt.date,
+                  penalty_first: dt.date, client: int = codes.PICKUP_CLIENT_ID) -> DataFrame:
+    """The conditions of :func:`weekly_scorecard` as bitmaps of order numbers per order day (see ``bitmaps``)."""
+    scoped, counted = _weekly_rules(df, as_of, grace_days, first, penalty_first, client)
+    return daily_bitmaps(scoped.withColumn("order_day", day("orderdate")), numbers, "ordercode", ["order_day"], counted)
+
+
+def distinct_scorecard(bitmaps: DataFrame, grain: str) -> DataFrame:
+    """The rates of :func:`weekly_scorecard` on distinct orders in both parts of each ratio.
+
+    An order is counted once per period even if it has rows on several days, and is on time if one of them is.  All
+    grains come out of the same daily bitmaps; the orders are not read again.
+    """
+    flags = [c for c in bitmaps.columns if c not in ("order_day", *CELL)]
+    return _weekly_table(distinct_counts(bitmaps, {"period": period_start("order_day", grain)}, flags), grain)
+
+
+def _weekly_table(table: DataFrame, grain: str) -> DataFrame:
     table = table.where(F.col("live") > 0)
     return table.select(
         "period", period_number("period", grain).alias("time"),
