@@ -135,6 +135,15 @@ def filter_param_list(v):
     return kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("filter_param_marker", "o_orderdate:d n:i", """
+    SELECT o_orderdate, count(*) AS n FROM orders
+    WHERE CAST(o_orderdate AS DATE) IN (DATE '1995-03-15', DATE '1996-02-29', DATE '1997-12-31') GROUP BY 1""")
+def filter_param_marker(v):
+    orders = v.orders.withColumn("o_orderdate", F.to_date("o_orderdate"))
+    kept = scans.restrict_by_parameter(orders, "o_orderdate", ["1995-03-15", "1996-02-29", "1997-12-31"])
+    return kept.groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- projections ---------------------------------------------------------------
 
 @query("proj_rename", "order_id:i customer:i total:f", """

@@ -150,6 +150,19 @@ def restrict_to_values(df: DataFrame, column: str, values: Sequence) -> DataFram
     return df.where(keep)
 
 
+def restrict_by_parameter(df: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """As :func:`restrict_to_values` with the list bound to a parameter marker: the statement is the same for any list.
+
+    The list is text of no statement, so nothing has to be quoted or typed in, and statements of a report can be compared
+    or kept.  It becomes the small side of a semi join; nulls in it match nothing, an empty list keeps nothing.  The
+    values are read as the column's type; one that cannot be read is an error.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    statement = f"SELECT * FROM {{facts}} WHERE `{column}` IN (SELECT explode(CAST(:listed AS array<{kind}>)))"
+    listed = [v for v in values if v is not None] or F.array()
+    return df.sparkSession.sql(statement, args={"listed": listed}, facts=df)
+
+
 def enrich_list(ids: DataFrame, facts: DataFrame, id_column: str, fact_key: str,
                 columns: Sequence[str]) -> DataFrame:
     """Every listed id with the fact columns, NULL where the fact is unknown."""
