@@ -89,6 +89,21 @@ def test_more_numbers_than_one_bitmap_holds(spark):
     assert bitmaps.distinct_counts(daily, {}, NAMES).first().asDict() == {"orders": 70_000, "late": 23_334}
 
 
+def test_orders_with_rows_on_far_days(spark):
+    """Most cells hold one order then: a bitmap takes room for its orders, not for all numbers of its block."""
+    pick, start = random.Random(5), dt.date(2023, 1, 1)
+    rows = [(f"o{n}", start + dt.timedelta(pick.randrange(700)), pick.random() < 0.3) for n in range(800) for _ in range(3)]
+    far = spark.createDataFrame(rows, "code string, day date, late boolean")
+    daily = bitmaps.daily_bitmaps(far, bitmaps.order_numbers(far, "code", "day"), "code", ["day"], flags())
+    assert daily.count() > 2000
+    assert daily.select(F.max(F.length(F.to_json(F.struct(*NAMES))))).first()[0] < 200
+    for grain in ("day", "week", "month"):
+        key = period_start("day", grain)
+        assert sorted(map(repr, bitmaps.distinct_counts(daily, {"k": key}, NAMES).collect())) == plain(far, key)
+    weekly = bitmaps.merge_bitmaps(daily, {"week": period_start("day", "week")}, NAMES)
+    assert sorted(map(repr, bitmaps.distinct_counts(weekly, {"k": F.lit("total")}, NAMES).collect())) == plain(far, F.lit("total"))
+
+
 def test_empty(orders, numbers):
     none = orders.limit(0)
     daily = bitmaps.daily_bitmaps(none, bitmaps.order_numbers(none, "code", "day"), "code", ["day"], flags())
